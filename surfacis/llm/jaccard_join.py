@@ -16,8 +16,6 @@ from .components import connected
 
 #: Size bands grow by this factor. Longs of the sketch that weeds out pairs before sets are compared. Members of a bucket to a tile.
 BAND, SKETCH, TILE = 2.2, 8, 1024
-#: Rounds in which every bucket is compared with one hub before its rest is compared by tiles.
-HUB_ROUNDS = 2
 _SEGMENT = 1 << 20
 _U = np.uint64
 
@@ -131,14 +129,62 @@ def _features(words: int, p: int, q: int):
     return run
 
 
-def _sets(words: int):
+#: Bits of the Bloom filters that spare a shuffle rows that can't join: 4 MB whatever the input; a full one lets all rows pass.
+BLOOM_BITS = 1 << 25
+
+
+def _bloom(df: DataFrame, h: str):
+    """A broadcast bit array with two bits for each value of the hash column h, put together on the cluster."""
+    mask = F.lit(BLOOM_BITS - 1).cast("long")
+    at = F.explode(F.array(F.col(h).bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("p")
+    words = df.select(at).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
+    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.int64).view(np.uint64)
+    a, b = h & _U(BLOOM_BITS - 1), (h >> _U(32)) & _U(BLOOM_BITS - 1)
+    return ((bits[a >> _U(6)] >> (a & _U(63))) & (bits[b >> _U(6)] >> (b & _U(63))) & _U(1)).astype(bool)
+
+
+def _kept_keys(bloom):
+    """g and key of the keys that the filter lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+            lists = batch.column("keys")
+            key, g = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column("g1").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            keep = _may_hold(bloom.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(key[keep])], ["g", "key"])
 
     return run
 
 
+def _sets(words: int, bloom):
+    """Sets of the texts whose id the filter lets through: the high 40 bits of each sorted hash, in 5 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_may_hold(bloom.value, batch.column("h").to_numpy(zero_copy_only=False))))
+            packed = [np.unique(shingle_set(t, words) >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "s"])
+
+    return run
+
+
+def common(u: pd.Series, v: pd.Series) -> pd.Series:
+    """Elements that two packed sets share."""
+
+    def numbers(raw) -> np.ndarray:
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return out.view("<i8").ravel()
+
+    return pd.Series([len(np.intersect1d(numbers(a), numbers(b), assume_unique=True)) for a, b in zip(u, v)], dtype="int64")
+
+
 def _sketch_near(p: int, q: int) -> str:
     """SQL: two sketches differ in no more bits than linked sets have elements apart."""
     bits = " + ".join(f"bit_count(u_sketch[{i}] ^ v_sketch[{i}])" for i in range(SKETCH))
@@ -149,68 +195,80 @@ def similarity_links(docs: DataFrame, words: int, p: int, q: int, id_col: str =
     """(members, links). members: id, n_shingles, rep for every row with an id, rep the smallest id with the same shingle set (its own without words). links: u, v, pairs of reps with Jaccard similarity p/q or more that join all that such pairs connect.
 
     Two sets linked agree in a block of their size band (see schemes()), so every link shares a bucket. A bucket's
-    rows aren't paired: its smallest id is compared with the rest, for HUB_ROUNDS rounds; buckets whose rows one
-    component then holds are done. The rest of a bucket is compared by tiles of TILE rows on bit sketches, across components only; sets are
-    compared exactly for what passes. Links within a component that are left out connect nothing new.
+    rows aren't paired: its smallest id is its hub. First every row is held against its smallest hub, then against the others
+    of another component; buckets that one component then holds are done. The rest of a bucket gets a new hub, and what is left after that is
+    compared by tiles of TILE rows on bit sketches, across components only. Sets are compared exactly for what passes. Links
+    within a component that are left out connect nothing new.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     made = texts.mapInArrow(_features(words, p, q), f"id {kind}, n long, g1 long, g2 long, keys array<long>, sketch array<long>")
     feats = stage(made, "jaccard-features")
-    same = feats.where("n > 0").groupBy("g1", "g2", "n").agg(F.min("id").alias("rep"))
-    members = stage(feats.select("id", "n", "g1", "g2").join(same, ["g1", "g2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "jaccard-members")
-    reps = stage(feats.where("n > 0").select("id", "n", "keys", "sketch").join(members.where("rep = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "jaccard-reps")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far").select("key", "hub")
-    buckets = stage(keyed.join(hubs, "key"), "jaccard-buckets")
-    sketches = reps.select("id", "n", "sketch")
-
-    edges = None
-    done = None
-    for round_no in range(HUB_ROUNDS + 1):
-        if round_no < HUB_ROUNDS:
-            pairs = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-            pairs = pairs if done is None else pairs.join(done, ["u", "v"], "left_anti")
-            u = sketches.select(F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("sketch").alias("u_sketch"))
-            v = sketches.select(F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("sketch").alias("v_sketch"))
-            pairs = pairs.join(v, "v").join(u, "u").where(_sketch_near(p, q)).select("u", "v", "u_n", "v_n")
-        else:
-            pairs = _tiled(buckets, sketches, p, q, kind)
-            pairs = pairs if done is None else pairs.join(done, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "jaccard-pairs")
-        new = _verified(pairs, texts, words, p, q, kind)
-        edges = stage(new if edges is None else edges.unionByName(new), "jaccard-links")
-        done = stage(pairs.select("u", "v") if done is None else done.unionByName(pairs.select("u", "v")), "jaccard-done")
-        if round_no == HUB_ROUNDS:
-            break
+    nodes = stage(feats.where("n > 0").groupBy("g1", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+    same = nodes.select("g1", "g2", F.col("id").alias("rep"))
+    members = stage(feats.select("id", "n", "g1", "g2").join(same, ["g1", "g2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "jaccard-members")
+    nodes = nodes.drop("g2")
+
+    keyed = feats.where("n > 0").select("g1", F.explode("keys").alias("key"))
+    shared = stage(keyed.groupBy("key").agg(F.min("g1").alias("a"), F.max("g1").alias("b")).where("a <> b").select("key"), "jaccard-keys")
+    near = feats.where("n > 0").select("g1", "keys").mapInArrow(_kept_keys(_bloom(shared, "key")), "g long, key long").distinct()
+    near = near.join(shared, "key").join(nodes.select(F.col("g1").alias("g"), "id"), "g").select("key", "id")
+    buckets = stage(near, "jaccard-members-by-key")
+    buckets = stage(buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key"), "jaccard-buckets")
+
+    star = stage(_star_pairs(buckets, nodes, p, q), "jaccard-star")
+    best = star.groupBy("v").agg(F.min_by(F.struct("u", "u_n", "v_n"), "u").alias("t")).select("t.u", "v", "t.u_n", "t.v_n")
+    edges = _verified(stage(best, "jaccard-pairs"), texts, words, p, q, kind)
+    comp = connected(edges)
+    edges = edges.unionByName(_verified(stage(_across(star, comp), "jaccard-pairs"), texts, words, p, q, kind))
+    for last in (False, True):
         comp = connected(edges)
-        rest = buckets.where("id <> hub").select("key", "id") if round_no else buckets.select("key", "id", "hub")
-        rest = buckets.select("key", "id", "hub").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        rest = rest.join(mixed, "key").where("id <> hub").select("key", "id", "component")
-        again = rest.groupBy("key").agg(F.min("id").alias("hub"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key", "hub")
-        buckets = stage(rest.join(again, "key"), "jaccard-buckets")
+        buckets = stage(_unsettled(buckets, comp), "jaccard-buckets")
         if buckets.isEmpty():
             break
+        pairs = _tiled(buckets, nodes, p, q, kind) if last else _across(_star_pairs(buckets, nodes, p, q), comp)
+        edges = edges.unionByName(_verified(stage(pairs, "jaccard-pairs"), texts, words, p, q, kind))
     return members, edges
 
 
+def _star_pairs(buckets: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """Hub u and row v of every bucket, once each, whose sketches are near enough."""
+    pairs = buckets.where("id <> hub").select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
+    u = nodes.select(F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("sketch").alias("u_sketch"))
+    v = nodes.select(F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("sketch").alias("v_sketch"))
+    return pairs.join(v, "v").join(u, "u").where(_sketch_near(p, q)).select("u", "v", "u_n", "v_n")
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of two components."""
+    a = comp.select(F.col("id").alias("u"), F.col("component").alias("a"))
+    b = comp.select(F.col("id").alias("v"), F.col("component").alias("b"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where("coalesce(a, u) <> coalesce(b, v)").select("u", "v", "u_n", "v_n")
+
+
+def _unsettled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (key, id, component, hub) of buckets without their old hub, which all rows have been held against, as far as several components are left; with a new hub."""
+    rows = buckets.select("key", "id", "hub").where("id <> hub").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = rows.groupBy("key").agg(F.min("id").alias("hub"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key", "hub")
+    return rows.join(mixed, "key")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int, kind: str) -> DataFrame:
-    """The pairs u, v whose shingle sets are similar enough, counted on the sets of the texts that are in a pair."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words), f"id {kind}, s array<long>")
+    """The pairs u, v whose shingle sets are similar enough. Sets are made anew for texts in a pair; a Bloom filter of their ids keeps the other texts out of every shuffle."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = texts.withColumn("h", F.xxhash64("id")).mapInArrow(_sets(words, _bloom(ids.withColumn("h", F.xxhash64("id")), "h")), f"id {kind}, s binary")
     sets = stage(sets, "jaccard-sets")
     both = pairs.join(sets.select(F.col("id").alias("v"), F.col("s").alias("v_s")), "v").join(sets.select(F.col("id").alias("u"), F.col("s").alias("u_s")), "u")
-    both = both.withColumn("common", F.size(F.array_intersect("u_s", "v_s")))
-    return both.where(f"common * {q} >= (u_n + v_n - common) * {p}").select("u", "v")
+    both = both.withColumn("common", F.pandas_udf(common, "long")("u_s", "v_s"))
+    return stage(both.where(f"common * {q} >= (u_n + v_n - common) * {p}").select("u", "v"), "jaccard-links")
 
 
-def _tiled(buckets: DataFrame, sketches: DataFrame, p: int, q: int, kind: str) -> DataFrame:
+def _tiled(buckets: DataFrame, nodes: DataFrame, p: int, q: int, kind: str) -> DataFrame:
     """Pairs u, v, u_n, v_n across components in the same bucket whose sketches are near enough, by tiles of TILE rows, so that a bucket of any size is compared in bounded tasks."""
     sized = buckets.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     rows = buckets.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "component").join(sketches, "id")
+    rows = rows.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "component").join(nodes.select("id", "n", "sketch"), "id")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         sk, n = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64), pdf["n"].to_numpy()
