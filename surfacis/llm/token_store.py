@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import zlib
@@ -19,7 +20,7 @@ from .common import in_ranges, new_path, running_sum, stage
 #: Ids in the rolling window; chunks have LEAST to MOST ids, about MEAN.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
 #: Words and chunk keys that a Python worker remembers at most.
-MEMO_WORDS, MEMO_KEYS = 300_000, 200_000
+MEMO_WORDS, MEMO_KEYS = 600_000, 200_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tokenizers: dict[str, tuple] = {}
 _powers: list[np.ndarray] = []
@@ -72,19 +73,46 @@ def _encoder(path: str):
     return _tokenizers[path]
 
 
+_ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _core(w: bytes) -> bytes | None:
+    """The part of a word before its closing punctuation, if the tokenizer always splits there: after an ASCII letter or digit. Lower-cased, as the tokenizer does."""
+    core = w.rstrip(b".,;:!?*#$%&|")
+    return core.lower() if len(core) < len(w) and core and core[-1] in _ALNUM and core.isascii() else w.lower() if w.isascii() else None
+
+
 def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """Ids of every text as packed integers. ASCII white space, which the tokenizer drops, parts a text into words; each distinct word is encoded by the tokenizers library once while the memo holds it."""
+    """Ids of every text as packed integers. ASCII white space, which the tokenizer drops, parts a text into words, and closing punctuation a word; each distinct part is encoded by the tokenizers library once while the memo holds it.
+
+    The memo has two generations of MEMO_WORDS words at most: when the young one is full, it takes the place of the old one.
+    """
     tokenizer, memo, kind = _encoder(path)
     split = [t.encode("utf-8", "replace").split() for t in texts]
-    out = []
-    for words in split:
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, kind).tobytes()
-        out.append(b"".join(map(memo.__getitem__, words)))
+    old, young = memo.get("old", {}), memo.get("young", {})
+    found, parts = [], {}
+    for w in set().union(*split).difference(young):
+        if (ids := old.get(w)) is not None:
+            young[w] = ids
+            continue
+        core = _core(w)
+        pieces = (w,) if core is None else (core,) if len(core) == len(w) else (core, w[len(core) :])
+        found.append((w, pieces))
+        for x in pieces:
+            if x not in parts:
+                parts[x] = young.get(x) or old.get(x)
+    new = [x for x, ids in parts.items() if ids is None]
+    for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+        parts[x] = e.ids
+    flat, at, size = np.fromiter((i for x in new for i in parts[x]), kind).tobytes(), 0, kind.itemsize
+    for x in new:
+        end = at + size * len(parts[x])
+        parts[x], at = flat[at:end], end
+    young.update(parts)
+    for w, pieces in found:
+        young[w] = parts[pieces[0]] if len(pieces) == 1 else parts[pieces[0]] + parts[pieces[1]]
+    out = [b"".join(map(young.__getitem__, words)) for words in split]
+    memo["old"], memo["young"] = (young, {}) if len(young) > MEMO_WORDS else (old, young)
     return out
 
 
@@ -93,11 +121,12 @@ _CHUNK = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()
 
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and scanning the memo's words costs more than encoding them
         kind, sent = _encoder(path)[2], set()
         end = np.array([end_id], kind).tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
                 rows, counts, roots = [], [], []
                 for raw in encode_words([t or "" for t in batch.column("text").to_pylist()], path):
                     ids, chunks, last = np.frombuffer(raw + end, kind), [], 0
