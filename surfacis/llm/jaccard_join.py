@@ -15,7 +15,7 @@ from .common import stage
 from .components import connected
 
 #: Size bands grow by this factor. Longs of the sketch that weeds out pairs before sets are compared. Members of a bucket to a tile.
-BAND, SKETCH, TILE = 2.2, 8, 1024
+BAND, SKETCH, TILE = 2.2, 16, 1024
 _SEGMENT = 1 << 20
 _U = np.uint64
 
@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5,
     Texts link when their sets of distinct word shingles (A-Z lower-cased, ASCII white space between words)
     have a Jaccard similarity of p/q or more; component_id is the smallest id reachable, kept whether it is the
     row's own. Fewer words than a shingle count as one; null, empty or blank texts link with nothing. Rows that share
-    an id must be copies (each is returned); rows with a null id are left with null component and kept true. An
+    an id must be copies (each is returned); rows without an id can't be named in a result and are left out. An
     empty table gives an empty table; other columns are dropped. Nothing is capped or sampled.
     """
     members, links = similarity_links(docs, words, p, q, id_col, text_col)
