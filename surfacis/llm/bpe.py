@@ -8,10 +8,10 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, shuffle_parts
 
 #: Buckets of the literal maps, and the frequent words whose ids are looked up instead of folded anew.
-BUCKETS, DICTIONARY = 16384, 65536
+BUCKETS, DICTIONARY = 65536, 262144
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +38,7 @@ class LiteralMap:
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = "(?U)" + pattern
-        self.ranks = LiteralMap({k.hex(): str(v) for k, v in ranks.items()})
+        self.ranks = LiteralMap({k.hex().upper(): str(v) for k, v in ranks.items()})
         by_id = {v: k.hex() for k, v in ranks.items()}
         self.pieces = F.split(F.lit(",".join(by_id.get(i, "") for i in range(max(by_id) + 1))), ",", -1)
         self.packed = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(max(by_id) + 1))), ",", -1)
@@ -49,20 +49,31 @@ class ByteBpe:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word_hex: Column) -> Column:
-        """Ids of a word (its bytes in hex) as a comma-separated string: one rank look-up if the whole word has a rank, else single bytes whose leftmost pair of least rank merges until no pair has a rank."""
+        """Ids of a word (its bytes in hex) as a comma-separated string: one rank look-up if the whole word has a rank, else single bytes whose leftmost pair of least rank merges until no pair has a rank. The fold carries the ranks of all pairs, so a merge looks up the two beside it only."""
+
+        def rank(a: Column, b: Column) -> Column:
+            return self.ranks.get(F.concat(a, b)).cast("int")
 
         def step(state: Column, _: Column) -> Column:
-            p = state["p"]
-            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.ranks.get(F.concat(F.element_at(p, i), F.element_at(p, i + 1))).cast("int"))
+            p, r = state["p"], state["r"]
+            none = F.array().cast("array<int>")
+
+            def merged(i: Column) -> Column:
+                def around(m: Column) -> Column:
+                    parts = F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+                    left = F.when(i > 1, F.array(rank(F.element_at(p, i - 1), m))).otherwise(none)
+                    right = F.when(i + 1 < F.size(p), F.array(rank(m, F.element_at(p, i + 2)))).otherwise(none)
+                    pairs = F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p)))
+                    return F.struct(parts.alias("p"), pairs.alias("r"))
+
+                return F.when(i.isNull(), state).otherwise(let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), around))
 
-            def merged(r: Column) -> Column:
-                best = F.array_min(r)
-                return let(F.array_position(r, best).cast("int"), lambda i: F.when(best.isNull(), F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(F.slice(p, 1, i - 1), F.array(F.concat(F.element_at(p, i), F.element_at(p, i + 1))), F.slice(p, i + 2, F.size(p))).alias("p"), F.lit(False).alias("done"))))
+            return let(F.array_position(r, F.array_min(r)).cast("int"), merged)
 
-            return F.when(state["done"] | (F.size(p) < 2), state).otherwise(let(pairs, merged))
+        def started(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(x, F.element_at(p, i + 2))).alias("r"))
 
-        single = F.regexp_extract_all(word_hex, F.lit(".."), F.lit(0))
-        start = F.struct(single.alias("p"), F.lit(False).alias("done"))
+        start = let(F.regexp_extract_all(word_hex, F.lit(".."), F.lit(0)), started)
         parts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word_hex) / 2, F.lit(1)).cast("int")), start, step, lambda s: s["p"])
         by_merges = F.array_join(F.transform(parts, lambda p: self.ranks.get(p)), ",")
         return F.coalesce(self.ranks.get(word_hex), by_merges)
@@ -70,7 +81,7 @@ class ByteBpe:
     def with_dictionary(self, docs: DataFrame, text_col: str, words: int = DICTIONARY) -> ByteBpe:
         """Fold the most frequent distinct words of all docs once and keep their ids as a second literal map. Its size is bounded by words; what isn't in it is folded where it stands, to the same ids."""
         counted = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").count()
-        top = counted.orderBy(F.desc("count"), "w").limit(words).select(F.lower(F.hex(F.col("w").cast("binary"))).alias("w"))
+        top = counted.orderBy(F.desc("count"), "w").limit(words).repartition(shuffle_parts(docs.sparkSession), "w").select(F.hex(F.col("w").cast("binary")).alias("w"))
         self.dictionary = LiteralMap({r["w"]: r["ids"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).collect()})
         return self
 
@@ -80,7 +91,7 @@ class ByteBpe:
         def word(h: Column) -> Column:
             return F.coalesce(self.dictionary.get(h), self.fold(h)) if self.dictionary else self.fold(h)
 
-        joined = F.array_join(F.transform(self.words(text), lambda w: let(F.lower(F.hex(w.cast("binary"))), word)), ",")
+        joined = F.array_join(F.transform(self.words(text), lambda w: let(F.hex(w.cast("binary")), word)), ",")
         return let(joined, lambda s: F.when(s == "", F.array().cast("array<int>")).otherwise(F.split(s, ",", -1).cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
