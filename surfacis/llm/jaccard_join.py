@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 from .common import stage
 from .components import connected
 
-#: Size bands grow by this factor. Longs of the sketch that weeds out pairs before sets are compared. Members of a bucket to a tile.
-BAND, SKETCH, TILE = 2.2, 16, 1024
+#: Size bands grow by this factor. Longs of the sketch that weeds out pairs before sets are compared. Members of a bucket to a tile. Rows of tiles to a call of Python, about.
+BAND, SKETCH, TILE, BATCH = 2.2, 16, 1024, 16384
 _SEGMENT = 1 << 20
 _U = np.uint64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    y = x >> _U(30)
+    y ^= x
+    y *= _U(0xBF58476D1CE4E5B9)
+    y ^= y >> _U(27)
+    y *= _U(0x94D049BB133111EB)
+    y ^= y >> _U(31)
+    return y
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 _P = 0x9E3779B97F4A7C15
@@ -65,8 +74,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     size = min(words, len(w))
     out = np.full(len(w) - size + 1, _U(size))
     for k in range(size):
-        out = out * _U(0xD6E8FEB86659FD93) + w[k : len(w) - size + 1 + k]
-    return np.unique(_mix(out))
+        out *= _U(0xD6E8FEB86659FD93)
+        out += w[k : len(w) - size + 1 + k]
+    return _distinct(_mix(out))
 
 
 def most_apart(total, p: int, q: int):
@@ -92,14 +102,28 @@ def schemes(n: int, p: int, q: int) -> list[tuple[int, int]]:
 
 
 def parity_blocks(s: np.ndarray, blocks: int) -> np.ndarray:
-    """Two planes of blocks x 64 parity bits; every element toggles one bit in each, in the block that its hash names."""
+    """Two planes of blocks x 64 parity bits; every element of the sorted set s toggles one bit in each, in the block that its hash names."""
     block = ((s >> _U(32)) * _U(blocks)) >> _U(32)
-    planes = []
-    for shift in (0, 8):
-        bit = (s >> _U(shift)) & _U(63)
-        odd = np.bincount((block * _U(64) + bit).astype(np.int64), minlength=blocks * 64).astype(np.uint8) & 1
-        planes.append(np.packbits(odd, bitorder="little").view("<u8"))
-    return np.stack(planes)
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))  # blocks follow the order of s
+    planes = np.zeros((2, blocks), np.uint64)
+    for plane, shift in zip(planes, (0, 8)):
+        plane[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(_U(1) << ((s >> _U(shift)) & _U(63)), starts)
+    return planes
+
+
+def wide_sketch(s: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Parity bits of a set, in a power of two of longs, SKETCH at least: four bits or more for each element that a linked set of the same size may differ in. XORing its halves gives the sketch of half the size."""
+    longs = SKETCH
+    while longs * 64 < 4 * most_apart(2 * len(s), p, q):
+        longs *= 2
+    odd = np.bincount((_mix(s) & _U(longs * 64 - 1)).astype(np.int64), minlength=longs * 64).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    while len(sketch) > longs:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def block_keys(s: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -115,7 +139,7 @@ def _features(words: int, p: int, q: int):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                n, g1, g2, keys, sketch = [], [], [], [], []
+                n, g1, g2, keys, sketch, wide = [], [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(text, words)
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -123,8 +147,10 @@ def _features(words: int, p: int, q: int):
                     g1.append(d[0])
                     g2.append(d[1])
                     keys.append(block_keys(s, p, q) if len(s) else np.zeros(0, np.int64))
-                    sketch.append(parity_blocks(_mix(s), SKETCH)[0].view(np.int64) if len(s) else np.zeros(SKETCH, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["id", "n", "g1", "g2", "keys", "sketch"])
+                    w = wide_sketch(s, p, q)
+                    sketch.append(folded(w, SKETCH).view(np.int64))
+                    wide.append(w.tobytes() if len(w) > SKETCH else b"")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["id", "n", "g1", "g2", "keys", "sketch", "wide"])
 
     return run
 
@@ -168,7 +194,7 @@ def _sets(words: int, bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_may_hold(bloom.value, batch.column("h").to_numpy(zero_copy_only=False))))
-            packed = [np.unique(shingle_set(t, words) >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column("text").to_pylist()]
+            packed = [_distinct(shingle_set(t, words) >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "s"])
 
     return run
@@ -202,9 +228,9 @@ def similarity_links(docs: DataFrame, words: int, p: int, q: int, id_col: str =
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    made = texts.mapInArrow(_features(words, p, q), f"id {kind}, n long, g1 long, g2 long, keys array<long>, sketch array<long>")
+    made = texts.mapInArrow(_features(words, p, q), f"id {kind}, n long, g1 long, g2 long, keys array<long>, sketch array<long>, wide binary")
     feats = stage(made, "jaccard-features")
-    nodes = stage(feats.where("n > 0").groupBy("g1", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+    nodes = stage(feats.where("n > 0").groupBy("g1", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "jaccard-nodes")
     same = nodes.select("g1", "g2", F.col("id").alias("rep"))
     members = stage(feats.select("id", "n", "g1", "g2").join(same, ["g1", "g2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "jaccard-members")
     nodes = nodes.drop("g2")
@@ -218,16 +244,16 @@ def similarity_links(docs: DataFrame, words: int, p: int, q: int, id_col: str =
 
     star = stage(_star_pairs(buckets, nodes, p, q), "jaccard-star")
     best = star.groupBy("v").agg(F.min_by(F.struct("u", "u_n", "v_n"), "u").alias("t")).select("t.u", "v", "t.u_n", "t.v_n")
-    edges = _verified(stage(best, "jaccard-pairs"), texts, words, p, q, kind)
+    edges = _verified(best, nodes, texts, words, p, q, kind)
     comp = connected(edges)
-    edges = edges.unionByName(_verified(stage(_across(star, comp), "jaccard-pairs"), texts, words, p, q, kind))
+    edges = edges.unionByName(_verified(_across(star, comp), nodes, texts, words, p, q, kind))
     for last in (False, True):
         comp = connected(edges)
         buckets = stage(_unsettled(buckets, comp), "jaccard-buckets")
         if buckets.isEmpty():
             break
         pairs = _tiled(buckets, nodes, p, q, kind) if last else _across(_star_pairs(buckets, nodes, p, q), comp)
-        edges = edges.unionByName(_verified(stage(pairs, "jaccard-pairs"), texts, words, p, q, kind))
+        edges = edges.unionByName(_verified(pairs, nodes, texts, words, p, q, kind))
     return members, edges
 
 
@@ -253,8 +279,30 @@ def _unsettled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(mixed, "key")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int, kind: str) -> DataFrame:
-    """The pairs u, v whose shingle sets are similar enough. Sets are made anew for texts in a pair; a Bloom filter of their ids keeps the other texts out of every shuffle."""
+def _wide_near(p: int, q: int):
+    """UDF: whether two wide sketches, the larger folded to the size of the smaller, differ in no more bits than linked sets have elements apart. An empty one stands for a sketch that was compared before."""
+
+    def run(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+        out = []
+        for x, y, m in zip(a, b, most):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            longs = min(len(x), len(y))
+            out.append(not longs or int(np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum(dtype=np.int64)) <= m)
+        return pd.Series(out, dtype="bool")
+
+    return F.pandas_udf(run, "boolean")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, p: int, q: int, kind: str) -> DataFrame:
+    """The pairs u, v whose shingle sets are similar enough. Wide sketches weed out most pairs of long texts, whose sets are large.
+    Sets are made anew for texts in a pair that is left; a Bloom filter of their ids keeps the other texts out of every shuffle."""
+    pairs = stage(pairs, "jaccard-pairs")
+    wide = nodes.where("length(wide) > 0")
+    far = pairs.join(wide.select(F.col("id").alias("v"), F.col("wide").alias("v_w")), "v", "left").join(wide.select(F.col("id").alias("u"), F.col("wide").alias("u_w")), "u", "left")
+    none, most = F.lit(b""), F.floor((F.col("u_n") + F.col("v_n")) * (q - p) / (q + p))
+    pairs = stage(far.where(_wide_near(p, q)(F.coalesce("u_w", none), F.coalesce("v_w", none), most)).select("u", "v", "u_n", "v_n"), "jaccard-near-pairs")
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = texts.withColumn("h", F.xxhash64("id")).mapInArrow(_sets(words, _bloom(ids.withColumn("h", F.xxhash64("id")), "h")), f"id {kind}, s binary")
     sets = stage(sets, "jaccard-sets")
@@ -264,24 +312,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int, ki
 
 
 def _tiled(buckets: DataFrame, nodes: DataFrame, p: int, q: int, kind: str) -> DataFrame:
-    """Pairs u, v, u_n, v_n across components in the same bucket whose sketches are near enough, by tiles of TILE rows, so that a bucket of any size is compared in bounded tasks."""
-    sized = buckets.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    """Pairs u, v, u_n, v_n across components in the same bucket whose sketches are near enough, by tiles of TILE rows, so that a bucket of any size is compared in bounded tasks; many tiles share a call of Python."""
+    sized = stage(buckets.groupBy("key").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")), "jaccard-tiles")
+    batches = int(sized.agg(F.sum(F.col("rows") * F.col("tiles"))).first()[0]) // BATCH + 1
     rows = buckets.join(sized, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "component").join(nodes.select("id", "n", "sketch"), "id")
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "a", "b"), F.lit(batches)))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "a", "b"], ignore_index=True)
         sk, n = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64), pdf["n"].to_numpy()
         comp, ids, tile = pdf["component"].to_numpy(), pdf["id"].to_numpy(), pdf["tile"].to_numpy()
-        cross, out = tile.min() != tile.max(), []
+        cross = (pdf["a"] != pdf["b"]).to_numpy()
+        at = pdf[["key", "a", "b"]].to_numpy()
+        ends = np.append(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(ids))
+        ends, out = np.repeat(ends, np.diff(ends, prepend=0)), []  # the end of each row's tile
         for i in range(len(ids)):
-            js = np.arange(i + 1, len(ids))
-            js = js[(comp[js] != comp[i]) & ((tile[js] != tile[i]) if cross else True)]
+            if i + 1 == ends[i]:
+                continue
+            js = np.arange(i + 1, ends[i])
+            js = js[(comp[js] != comp[i]) & ((tile[js] != tile[i]) if cross[i] else True)]
+            if not len(js):
+                continue
             js = js[(np.bitwise_count(sk[js] ^ sk[i]).sum(1, dtype=np.int64) * (q + p) <= (n[js] + n[i]) * (q - p)) & (np.minimum(n[js], n[i]) * q >= np.maximum(n[js], n[i]) * p)]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j]), n[i], n[j]) for j in js]
-        return pd.DataFrame(out, columns=["u", "v", "u_n", "v_n"])
+            out += [(*((ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])), n[i], n[j]) for j in js]
+        return pd.DataFrame(out, columns=["u", "v", "u_n", "v_n"]).drop_duplicates(["u", "v"])
 
-    return rows.groupBy("key", "a", "b").applyInPandas(near, f"u {kind}, v {kind}, u_n long, v_n long").dropDuplicates(["u", "v"])
+    return rows.groupBy("batch").applyInPandas(near, f"u {kind}, v {kind}, u_n long, v_n long").dropDuplicates(["u", "v"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
