@@ -163,9 +163,9 @@ def _bloom(df: DataFrame, h: str):
     """A broadcast bit array with two bits for each value of the hash column h, put together on the cluster."""
     mask = F.lit(BLOOM_BITS - 1).cast("long")
     at = F.explode(F.array(F.col(h).bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("p")
-    words = df.select(at).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
+    words = df.select(at).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
     bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(bits)
 
 
