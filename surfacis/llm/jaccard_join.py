@@ -126,11 +126,24 @@ def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
     return sketch
 
 
+def needed(planes: np.ndarray, apart: int) -> np.ndarray:
+    """Blocks whose keys a set gives out, if it differs from a linked set by apart elements at most: the first that hold apart + 1 which aren't blank, without the blank ones; all if it has fewer.
+
+    Linked sets u and v differ in no more blocks than elements. Say that u's first blocks end no later than v's (or
+    v gives out all): of the apart + 1 of u that aren't blank one agrees with v's, is thus not blank there, and v gives it out too.
+    If both give out all blocks, one of them agrees. So blank blocks, which all small enough sets share, make no bucket.
+    """
+    full = np.flatnonzero(planes.any(axis=0))
+    return full[: apart + 1] if len(full) > apart else np.arange(planes.shape[1])
+
+
 def block_keys(s: np.ndarray, p: int, q: int) -> np.ndarray:
-    out = []
-    for scheme, blocks in schemes(len(s), p, q):
-        a, b = parity_blocks(s, blocks)
-        out.append(_mix(a ^ _mix(b + _mix(np.arange(blocks, dtype=np.uint64) + _U(scheme << 40)))))
+    out, n = [], len(s)
+    for scheme, blocks in schemes(n, p, q):
+        planes = parity_blocks(s, blocks)
+        at = needed(planes, min(blocks - 1, most_apart(n + n * q // p, p, q)))
+        a, b = planes[:, at]
+        out.append(_mix(a ^ _mix(b + _mix(at.astype(np.uint64) + _U(scheme << 40)))))
     return np.concatenate(out).view(np.int64)
 
 
