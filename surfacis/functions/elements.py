@@ -20,6 +20,13 @@ RADIUS_BY_NUMBER = {
     1: 1.10, 3: 1.81, 4: 1.53, 6: 1.70, 7: 1.55, 8: 1.52, 9: 1.47, 11: 2.27, 12: 1.73, 15: 1.80, 16: 1.80, 17: 1.75, 19: 2.75, 20: 2.31,
     25: 1.19, 26: 1.26, 27: 1.13, 28: 1.63, 29: 1.40, 30: 1.39, 33: 1.85, 34: 1.90, 35: 1.83, 48: 1.58, 53: 1.98, 80: 1.55, 82: 2.02,
 }
+# Van der Waals radius that file readers give, by atomic number from 1; unknown elements (0) have 1.00.
+READER_RADII = [
+    1.20, 1.40, 1.82, 1.53, 1.92, 1.70, 1.55, 1.52, 1.47, 1.54, 2.27, 1.73, 1.84, 2.10, 1.80, 1.80, 1.75, 1.88, 2.75, 2.31, 2.11, 1.95, 1.06, 1.13, 1.19, 1.26, 1.13, 1.63, 1.40, 1.39,
+    1.87, 2.11, 1.85, 1.90, 1.85, 2.02, 3.03, 2.49, 1.61, 1.42, 1.33, 1.75, 2.00, 1.20, 1.22, 1.63, 1.72, 1.58, 1.93, 2.17, 2.06, 2.06, 1.98, 2.16, 3.43, 2.68, 1.83, 1.86, 1.62, 1.79,
+    1.76, 1.74, 1.96, 1.69, 1.66, 1.63, 1.61, 1.59, 1.57, 1.54, 1.53, 1.40, 1.22, 1.26, 1.30, 1.58, 1.22, 1.75, 1.66, 1.55, 1.96, 2.02, 2.07, 1.97, 2.02, 2.20, 3.48, 2.83, 2.12, 1.84,
+    1.60, 1.86, 1.71, 1.67, 1.66, 1.65, 1.64, 1.63, 1.62, 1.61, 1.60, 1.59, 1.58,
+]
 # Symbols of the elements in order of atomic number.
 SYMBOLS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
@@ -41,6 +48,11 @@ def atomic_number(symbol: Column) -> Column:
     return F.coalesce(lookup(NUMBER, s), lookup(NUMBER, F.substring(s, 1, 1)), F.lit(0))
 
 
+def vdw_radius(number: Column) -> Column:
+    """Radius that file readers give an element: 1.00 where none is known."""
+    return F.coalesce(F.get(F.array(*[F.lit(r) for r in READER_RADII]), number - 1), F.lit(1.0))
+
+
 def element_of_name(name: Column) -> Column:
     """Element symbol of an atom name: two letters if they are one with a known radius and no space leads, else the first."""
     t = F.upper(F.trim(name))
