@@ -192,7 +192,7 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         uneven = uneven | F.coalesce((F.size(c) != n) & F.col(c).isNotNull(), F.lit(False))
     rows = rows.withColumn("x", F.when(uneven, F.raise_error(F.concat(F.lit("arrays of unequal length in "), F.col("structure_id"))).cast("array<double>")).otherwise(F.col("x")))
     for c, k in (("residue", "string"), ("atom_name", "string"), ("element", "int")):
-        rows = rows.withColumn(c, F.coalesce(c, F.transform("x", lambda _, k=k: F.lit(None).cast(k))))
+        rows = rows.withColumn(c, F.coalesce(c, F.transform("x", lambda _: F.lit(None).cast(k))))
     rows = rows.select("structure_id", F.posexplode(F.arrays_zip("x", "y", "z", "r", "residue", "atom_name", "element")).alias("atom_index", "a"))
     null = lambda kind: F.lit(None).cast(kind)
     return rows.select(
