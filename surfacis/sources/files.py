@@ -227,7 +227,7 @@ def read_chain_map(spark: SparkSession, path: str) -> DataFrame:
     for c, v in (("id", F.lit(None).cast("string")), ("asym_id_type", F.lit("label"))):
         if c not in rows.columns:
             rows = rows.withColumn(c, v)
-    return checked_map(rows.select("filename", F.transform(F.split("chains", ","), F.trim).alias("chains"), "id", F.coalesce("asym_id_type", F.lit("label")).alias("asym_id_type")))
+    return checked_map(rows.select("filename", F.transform(F.split("chains", ","), lambda c: F.trim(c)).alias("chains"), "id", F.coalesce("asym_id_type", F.lit("label")).alias("asym_id_type")))
 
 
 def checked_map(rows: DataFrame) -> DataFrame:
