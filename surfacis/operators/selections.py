@@ -10,7 +10,7 @@ from .surface import shrake_rupley
 
 def chain_set(text: Column) -> Column:
     """A list of chains in one text, trimmed, sorted, each once."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda c: c != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != "")))
 
 
 def map_errors(entries: DataFrame) -> DataFrame:
