@@ -58,28 +58,36 @@ def _hasher(tables: int, projections: int, width: float, seed: int):
     return run
 
 
+def spanning_links(close: np.ndarray, ids: np.ndarray) -> list[tuple]:
+    """Links (id, smallest id of its component) of a symmetric matrix's components: one for every row but the smallest of each."""
+    free, out = close.any(1), []
+    linked = np.flatnonzero(free)
+    for root in linked[np.argsort(ids[linked], kind="stable")].tolist():
+        todo = [root] if free[root] else []
+        free[root] = False
+        while todo:
+            new = np.flatnonzero(close[todo.pop()] & free)
+            free[new] = False
+            out += [(ids[k], ids[root]) for k in new]
+            todo += new.tolist()
+    return out
+
+
 def _pairs(least: float, kind: str):
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of one tile pair: how many vectors (copies counted) each links with, and the links that span them. A pair counts in the first table that it shares."""
         x, keys = np.stack(pdf["x"].to_numpy()), np.stack(pdf["keys"].to_numpy())
         ids, m, tile, t = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["tile"].to_numpy(), int(pdf["t"].iloc[0])
         cross = tile.min() != tile.max()
-        links, out = np.zeros(len(ids), np.int64), []
+        links, all_close = np.zeros(len(ids), np.int64), np.zeros((len(ids), len(ids)), bool)
         for i in range(0, len(ids), 256):
             close = x[i : i + 256] @ x.T >= least
             close &= (tile[i : i + 256, None] != tile[None]) if cross else ~np.eye(len(ids), dtype=bool)[i : i + 256]
             r, c = np.nonzero(close)
             first = ~(keys[r + i, :t] == keys[c, :t]).any(1)
             np.add.at(links, r[first] + i, m[c[first]])
-            low = {}
-            for a, b in zip(r.tolist(), c.tolist()):
-                if ids[b] < ids[a + i] and (a not in low or ids[b] < low[a]):
-                    low[a] = ids[b]
-            up = {}
-            for a, b in zip(r.tolist(), c.tolist()):
-                if ids[b] > ids[a + i] and cross:
-                    up[b] = min(up.get(b, ids[a + i]), ids[a + i])
-            out += [(ids[a + i], v) for a, v in low.items()] + [(ids[b], v) for b, v in up.items()]
+            all_close[i : i + 256] = close
+        out = spanning_links(all_close | all_close.T, ids)
         counted = pd.DataFrame({"u": ids, "v": None, "n": links})[links > 0]
         return pd.concat([counted, pd.DataFrame([(a, b, 0) for a, b in out], columns=["u", "v", "n"])]) if out else counted
 
@@ -93,7 +101,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     more. n_links counts other vectors linked directly, component_id is the smallest id reachable, kept whether
     it is the row's own. Null, empty or zero vectors, ones with null or non-finite components, and ones of another
     length link with nothing. Vectors of one direction are a class: their links are counted, not listed. A bucket is compared by
-    tiles of TILE classes, in bounded tasks whatever its size; each sends counts and one link for each class.
+    tiles of TILE classes, in bounded tasks whatever its size; each sends counts and a spanning forest of its links, one for each class at most.
     Ids are taken to be distinct; rows with a null id come back with no links. An empty table gives an empty table; other columns are dropped.
     """
     kind = dict(vectors.dtypes)[id_col]

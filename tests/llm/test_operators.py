@@ -193,6 +193,25 @@ def test_embeddings_against_brute_force(spark):
     assert got[0].component_id == got[300].component_id == got[301].component_id == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_embedding_components_span_all_links(spark, monkeypatch, tile):
+    """A chain and a hub whose ids are in no order, in one bucket, so that all links are found: components are those of the links."""
+    monkeypatch.setattr(embed_dedup, "TILE", tile)
+    angle = np.arange(15) * np.radians(20)
+    chain = np.stack([np.cos(angle), np.sin(angle)], 1) @ np.eye(40)[:2]
+    hub = np.concatenate(([np.eye(40)[2]], 0.92 * np.eye(40)[2] + np.sqrt(1 - 0.92**2) * np.eye(40)[3:23]))
+    x = np.concatenate((chain, hub, chain[:2]))
+    ids = np.random.default_rng(3).permutation(len(x)) + 10
+    ids[len(chain)] = 1000
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, tables=2, projections=1, width=1000.0).collect()}
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = components(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(near)])
+    assert {i: r.n_links for i, r in got.items()} == dict(zip(ids.tolist(), near.sum(1).tolist()))
+    assert {i: (r.component_id, r.kept) for i, r in got.items()} == {i: (c, i == c) for i, c in want.items()} and len(set(want.values())) == 2
+
+
 def test_bpe_against_tiktoken(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
