@@ -32,13 +32,22 @@ def targets(sizes: dict, weights: dict, budget: float, epochs: int = EPOCHS) ->
     return out
 
 
+def whole(goal: dict) -> dict:
+    """Targets in whole words that add up to the rounded budget: rounded down, and a word more where most was lost."""
+    out = {s: int(g) for s, g in goal.items()}
+    short = round(sum(goal.values())) - sum(out.values())
+    for s in sorted(goal, key=lambda s: (out[s] - goal[s], s is None, s or ""))[:short]:
+        out[s] += 1
+    return out
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None) -> DataFrame:
     """What a mix takes of each row: id_col, source, size, source_size, target, taken and first_at.
 
-    Every source passes its rows in a shuffled order (a hash of seed, id and text), epochs times over. A row
-    finishes at the source's words so far divided by its target, so all sources reach their target at 1; a row
-    in service then is split there. A global range sort by finish time gives every piece its place in the mix
-    (first_at: words before the row's first piece), and the pieces beyond the total budget fall away.
+    Every source queues all its rows in a shuffled order (a hash of seed, id and text), epochs times over. A row
+    finishes at the source's words so far divided by its target in whole words, so all sources reach their target at 1; a row
+    in service then is split there, and what is left of it queues on. A global range sort by finish time gives every piece its place in the mix
+    (first_at: words before the row's first piece), and the truncation at the total budget takes all beyond it away.
     Words of a null text: 0; such rows stay with taken 0. Null is a source of its own and comes last; rows that
     repeat share their place and are taken alike. Sources are counted on the cluster; one row for each source comes to the
     driver to share the budget, nothing else. An empty table gives an empty table.
@@ -51,18 +60,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     named = sorted(sizes, key=lambda s: (s is None, s or ""))
     goal = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(named)}, share * sum(sizes.values()), epochs)
-    goals = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in named], "s string, source_size long, target double")
+    words = whole(goal)
+    goals = spark.createDataFrame([(s, sizes[s], float(goal[s]), words[s]) for s in named], "s string, source_size long, target double, horizon long")
     ranged = in_ranges(rows, order, "mix-order")
     placed = running_sum(ranged, order, "size", "before", by="source").join(F.broadcast(goals) if len(named) <= 100_000 else goals, F.col("source").eqNullSafe(F.col("s"))).drop("s", "__pid")
 
+    passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     start = F.col("before") + F.col("source_size") * F.col("epoch")
-    pieces = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).where("size > 0")
-    horizon = F.round("target").cast("long")
-    pieces = pieces.withColumn("words", F.least(F.col("size"), F.greatest(horizon - start, F.lit(0)))).where("words > 0")
-    pieces = pieces.select("row", "epoch", "words", ((start + F.col("words")) / F.col("target")).alias("finish"))
+    passes = passes.select("row", "epoch", "size", "horizon", start.alias("start"), F.least(F.col("size"), F.greatest(F.col("horizon") - start, F.lit(0))).alias("due"))
+    parts = F.array(F.struct((F.col("start") + F.col("due")).alias("end"), F.col("due").alias("words")), F.struct((F.col("start") + F.col("size")).alias("end"), (F.col("size") - F.col("due")).alias("words")))
+    pieces = passes.select("row", "epoch", "horizon", F.inline(parts)).where("words > 0")
+    finish = F.when(F.col("horizon") > 0, F.col("end") / F.nullif(F.col("horizon"), F.lit(0))).otherwise(F.lit(float("inf")))
+    pieces = pieces.select("row", "epoch", "words", finish.alias("finish"))
     by = [F.col("finish"), F.col("row"), F.col("epoch")]
     queue = running_sum(in_ranges(pieces, by, "mix-queue"), by, "words", "mix_at")
-    budget = sum(round(t) for t in goal.values())
+    budget = sum(words.values())
     cut = queue.withColumn("words", F.least(F.col("words"), F.greatest(F.lit(budget) - F.col("mix_at"), F.lit(0)))).where("words > 0")
     taken = cut.groupBy("row").agg(F.sum("words").alias("taken"), F.min("mix_at").alias("first_at"))
     out = placed.join(taken, "row", "left")

@@ -236,6 +236,19 @@ def test_mixing(spark):
     assert all(r.taken <= 2 * r.size and r.size == len(rows[r.doc_id][1].split()) for r in got)
 
 
+def test_mixing_truncates_one_queue(spark, monkeypatch):
+    """Sources queue whole, and the cut is the total budget: 32 words, not three targets of 10.67 rounded to 33."""
+    queued = {}
+    monkeypatch.setattr(mixing, "in_ranges", lambda df, order, name, f=mixing.in_ranges: queued.setdefault(name, f(df, order, name)))
+    df = spark.createDataFrame([(i, " ".join(["w"] * 4), "abc"[i % 3]) for i in range(24)], DOCS)
+    got = mixing.mix(df, weights=(1.0,), share=1 / 3).collect()
+    own = {s: sum(r.taken for r in got if r.source == s) for s in "abc"}
+    assert sum(own.values()) == 32 and all(abs(n - 32 / 3) < 1 for n in own.values())
+    assert queued["mix-queue"].agg(F.sum("words")).first()[0] == 2 * 24 * 4
+    far = mixing.mix(df.limit(2), weights=(1.0, 1e-9), share=1.0).collect()
+    assert sum(r.taken for r in far) == 8 and mixing.whole({None: 0.4, "a": 7.6}) == {None: 0, "a": 8}
+
+
 def test_odd_rows_pass_everywhere(spark, odd):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     model = quality.RuleEnsemble([(("symbols", ">", 0.1),)], [-2.0], 1.0)
