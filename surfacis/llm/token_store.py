@@ -168,21 +168,27 @@ class TokenStore:
                     if hashlib.blake2b(raw, digest_size=16).digest() != key or len(raw) != n * int(kind[2]):
                         raise ValueError(f"chunk {key.hex()} is damaged")
                     crcs.append(zlib.crc32(np.frombuffer(raw, kind).astype("<u4")))
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(crcs, pa.int64())], ["key", "crc"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(crcs, pa.int64())], ["key", "n", "crc"])
 
-        return self.read("chunks").select("key", "n", "ids").mapInArrow(check, "key binary, crc long")
+        return self.read("chunks").select("key", "n", "ids").mapInArrow(check, "key binary, n int, crc long")
 
     def documents(self) -> DataFrame:
         """id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
         Each chunk's checksum is moved to its place in the document (crc32 is linear), so joining the
         recipes carries a number for each chunk instead of its ids, and bit_xor() adds them up.
+        Fails where a recipe's root, lengths or chunks don't agree, or a range's recipes and its manifest.
         """
+        if not self.verify():
+            raise ValueError("the recipes aren't what the manifest says")
         recipes = self.read("recipes")
         docs = running_sum(recipes.select("row", "id", "n_tokens", "__pid"), [F.col("id").asc_nulls_first(), F.col("row")], "n_tokens", "start")
         after = F.transform(F.sequence(F.lit(1), F.size("lens")), lambda i: F.aggregate(F.slice("lens", i + 1, F.size("lens")), F.lit(0).cast("long"), lambda a, x: a + x))
-        pieces = recipes.select("row", F.explode(F.arrays_zip("keys", after.alias("after"))).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.after").alias("after"))
-        placed = pieces.join(self.verified_chunks(), "key", "left").withColumn("term", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a recipe names a chunk that isn't there"))).otherwise(F.pandas_udf(shifted_crc, "long")("crc", F.col("after") * 4)))
+        total = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+        sound = F.pandas_udf(has_root, "boolean")("keys", "root") & (F.size("keys") == F.size("lens")) & (F.col("n_tokens") == total)
+        parts = F.when(sound, F.arrays_zip("keys", "lens", after.alias("after"))).otherwise(F.raise_error(F.lit("a recipe isn't what its root and length say")))
+        pieces = recipes.select("row", F.explode(parts).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"), F.col("p.after").alias("after"))
+        placed = pieces.join(self.verified_chunks(), "key", "left").withColumn("term", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a recipe names a chunk that isn't there"))).when(F.col("n") != F.col("len"), F.raise_error(F.lit("a recipe gives a chunk another length"))).otherwise(F.pandas_udf(shifted_crc, "long")("crc", F.col("after") * 4)))
         sums = placed.groupBy("row").agg(F.bit_xor("term").alias("ids_crc32"))
         return docs.join(sums, "row").select("id", "start", "n_tokens", "ids_crc32")
 
@@ -221,6 +227,11 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     return recipes.select("__pid", "id", "row", "root", "n_tokens").groupBy("__pid").applyInPandas(root, "__pid int, root binary, n_tokens long")
 
 
+def has_root(keys: pd.Series, roots: pd.Series) -> pd.Series:
+    """Whether each list of chunk keys has its Merkle root."""
+    return pd.Series([merkle([bytes(x) for x in k]) == bytes(r) for k, r in zip(keys, roots)], dtype=bool)
+
+
 def _mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of polynomials over two elements modulo the (reflected) polynomial of crc32."""
     out, b = np.zeros_like(a), b.copy()

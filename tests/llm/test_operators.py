@@ -1,4 +1,5 @@
 import hashlib
+import shutil
 import zlib
 
 import numpy as np
@@ -100,6 +101,21 @@ def test_token_store_round_trip(spark, odd):
     assert store.read("chunks").groupBy("key").count().where("count > 1").isEmpty()
 
 
+def test_damaged_recipes_fail(spark, tmp_path):
+    """Swapped keys, swapped lengths, a wrong count and a foreign manifest are told, each in a copy of a sound store."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 900))) for i in range(3)], "doc_id long, text string")
+    store = token_store.write_store(df, public_tokenizers.path("word_bpe_49k.json"), 1, str(tmp_path / "sound"))
+    assert store.documents().count() == 3 and store.read("recipes").where("lens <> reverse(lens)").count() == 3
+    damage = {"keys": ("recipes", F.reverse("keys")), "lens": ("recipes", F.reverse("lens")), "n_tokens": ("recipes", F.col("n_tokens") + F.col("id") - 1), "root": ("manifest", F.reverse("root"))}
+    for column, (name, value) in damage.items():
+        path = tmp_path / column
+        shutil.copytree(tmp_path / "sound", path, ignore=shutil.ignore_patterns(name))
+        store.read(name).withColumn(column, value).write.parquet(f"{path}/{name}")
+        with pytest.raises(Exception, match="a recipe|the recipes"):
+            token_store.TokenStore(spark, str(path), store.width).documents().collect()
+
+
 def components(ids, pairs):
     parent = {i: i for i in ids}
 
