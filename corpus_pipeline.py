@@ -48,7 +48,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
 
-#: SQL has no trees, lasso or BPE: the pipeline is tested against brute force, stage by stage.
+#: SQL has no trees, lasso or BPE. Tests cover the stages' operators; no test runs the pipeline itself.
 ORACLE_SQL = None
 
 
