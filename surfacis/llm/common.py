@@ -41,8 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def let(value: Column, body) -> Column:
-    """Bind value once and use it many times in body: a lambda variable is evaluated once, a repeated column is not."""
-    return F.transform(F.array(value), body)[0]
+    """Bind value once and use it many times in body: a lambda variable is evaluated once, a repeated column is not. (element_at() works out its type once, an index in brackets for every row.)"""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def in_ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
