@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import let, shuffle_parts, stage
 
 #: Frequent distinct words whose ids are looked up; part counts up to which a fold makes one merge a step.
-DICTIONARY, SHORT = 262_144, 48
+DICTIONARY, SHORT = 786_432, 48
 #: Bits of an id. A pair is two ids side by side; an entry of the rank table is a pair and the rank of both together.
 BITS = 20
 NONE = 1 << BITS
@@ -73,10 +76,11 @@ class ByteBpe:
     """Ranks as constants of a plan: one-row relations whose value scalar() puts where a literal would stand, so that plans and their texts hold a reference and not megabytes. tables() and their parts are bound once by let()."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
+        self.spark, self.pattern = spark, pattern
         self.by, shifts, slots = rank_table(mergeable(ranks))
         self.groups, self.size = len(shifts), len(slots)
         by_id, top = {v: k for k, v in ranks.items()}, max(ranks.values(), default=0)
+        self.by_id = [by_id.get(i, b"") for i in range(top + 1)]
         if top >= NONE:
             raise ValueError(f"ranks have to be below {NONE}")
         values = {
@@ -87,7 +91,6 @@ class ByteBpe:
         row = spark.createDataFrame(table)
         self.constants = row.select("shifts", "slots", "bytes", F.col("pieces").cast("array<string>").alias("pieces"), F.col("packed").cast("array<string>").alias("packed"))
         self.unreached = unreached(ranks)
-        self.buckets = 0
 
     def with_constants(self, df: DataFrame, body, name: str) -> DataFrame:
         """df with the column name: body of the constants. They enter by a column that is read once, so that the optimizer puts the subquery into its place and no row carries them."""
@@ -96,7 +99,7 @@ class ByteBpe:
 
     def words(self, text: Column) -> Column:
         """The matches of the pattern, each to be encoded on its own."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))
 
     def rank(self, t: Column, a: Column, b: Column) -> Column:
         """Rank of two parts together, or NONE and more: an entry of the table without its pair, or against another's."""
@@ -186,15 +189,75 @@ class ByteBpe:
         joined = lambda ids, part: F.array_join(F.transform(ids, lambda i: t[part][i]), "").alias(part)
         return let(self.fold(t, word), lambda ids: F.struct(ids.alias("ids"), joined(ids, "packed"), joined(ids, "pieces")))
 
-    def coded(self, t: Column, text: Column) -> Column:
-        """ids (array of int), ids_packed (little-endian unsigned 32-bit integers) and decoded (the binary pieces of ids, concatenated) of a text; t holds the constants and, in known, the dictionary."""
-
-        def word(w: Column) -> Column:
-            at = F.xxhash64(w).bitwiseAND(F.lit(self.buckets - 1))
-            return let(t["known"][at], lambda e: F.when(e["w"] == w, e["v"]).when(e["w2"] == w, e["v2"]).otherwise(self.word(t, w)))
-
-        whole = lambda part, name: F.array_join(part, "").cast("binary").alias(name)
-        return let(F.transform(self.words(text), word), lambda c: F.struct(F.flatten(c["ids"]).alias("ids"), whole(c["packed"], "ids_packed"), whole(c["pieces"], "decoded")))
+    def dictionary(self, docs: DataFrame, text_col: str, words: int = DICTIONARY) -> pa.Table:
+        """w and ids of the most frequent distinct words of all docs, each folded once. Its size is bounded by words."""
+        counted = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").count()
+        top = counted.orderBy(F.desc("count"), "w").limit(words).select("w").repartition(shuffle_parts(self.spark), "w")
+        return stage(self.with_constants(top, lambda t: self.fold(t, F.col("w")), "ids"), "bpe-words").toArrow()
+
+    def split(self, docs: DataFrame, text_col: str, known: pa.Table) -> DataFrame:
+        """docs with the words of the dictionary encoded and decoded: rest, the other words in their order, and ids, ids_packed and decoded of the stretches before, between and behind them, one more than rest."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, known.schema) as out:
+            out.write_table(known)
+        shared, key = self.spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+        pieces, pattern, names = self.by_id, self.pattern, docs.columns
+
+        def run(batches):
+            find, ids_of = _loaded(key, shared, pattern)
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    batch = whole.slice(i, 512)
+                    rest, ids, texts = [], [], []
+                    for text in batch.column(text_col).to_pylist():
+                        found = [ids_of.get(w, w) for w in find(text or "")]
+                        own, at = [], 0
+                        stretches = []
+                        for j in [j for j, x in enumerate(found) if x.__class__ is str]:
+                            own.append(found[j])
+                            stretches.append(b"".join(found[at:j]))
+                            at = j + 1
+                        stretches.append(b"".join(found[at:]))
+                        rest.append(own)
+                        ids.append(stretches)
+                        texts.append([b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in stretches])
+                    packed = pa.array(ids, pa.list_(pa.binary()))
+                    flat = np.frombuffer(b"".join(x for xs in ids for x in xs), "<i4")
+                    ends = np.cumsum([0, *(len(x) // 4 for xs in ids for x in xs)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(packed.offsets, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rest, pa.list_(pa.string())), lists, packed, pa.array(texts, pa.list_(pa.binary()))], [*names, "__rest", "__ids", "__packed", "__decoded"])
+
+        more = T.StructType.fromDDL("__rest array<string>, __ids array<array<int>>, __packed array<binary>, __decoded array<binary>")
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more.fields]))
+
+    def coded(self, t: Column) -> Column:
+        """ids (array of int), ids_packed (little-endian unsigned 32-bit integers) and decoded (the binary pieces of ids, concatenated) of a row of split(): its other words are folded and put between the stretches."""
+
+        def between(stretches: Column, part: Column) -> Column:
+            return F.array_join(F.flatten(F.zip_with(stretches, part, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "").cast("binary")
+
+        def whole(c: Column) -> Column:
+            none = F.array().cast("array<int>")
+            ids = F.flatten(F.flatten(F.zip_with(F.col("__ids"), c["ids"], lambda a, b: F.array(a, F.coalesce(b, none)))))
+            packed, decoded = (between(F.col(n).cast("array<string>"), c[p]) for n, p in (("__packed", "packed"), ("__decoded", "pieces")))
+            return F.struct(ids.alias("ids"), packed.alias("ids_packed"), decoded.alias("decoded"))
+
+        return let(F.transform("__rest", lambda w: self.word(t, w)), whole)
+
+
+_memo: list = []
+
+
+def _loaded(key: str, shared, pattern: str):
+    """The word finder and the dictionary of a broadcast, kept by the Python worker for its next tasks."""
+    if not _memo or _memo[0] != key:
+        import regex
+
+        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        ids = table.column("ids").combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.cumsum([0, *pc.list_value_length(ids).to_pylist()]) * 4).tolist()
+        _memo[:] = [key, regex.compile(pattern).findall, {w: flat[a:b] for w, a, b in zip(table.column("w").to_pylist(), ends, ends[1:])}]
+    return _memo[1:]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
@@ -204,6 +267,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     these names are replaced, others stay. An empty table gives an empty table. A word takes time by its bytes squared up to
     SHORT bytes and by its bytes times the distinct merges in it beyond.
     """
-    bpe = ByteBpe(docs.sparkSession, load_ranks(ranks_path), pattern).with_dictionary(docs, text_col, dictionary)
-    rows = bpe.with_constants(docs.drop("ids", "ids_packed", "decoded"), lambda t: bpe.coded(t, F.col(text_col)), "__coded")
-    return rows.select("*", "__coded.*").drop("__coded")
+    bpe, docs = ByteBpe(docs.sparkSession, load_ranks(ranks_path), pattern), docs.drop("ids", "ids_packed", "decoded")
+    rows = bpe.split(docs, text_col, bpe.dictionary(docs, text_col, dictionary))
+    return bpe.with_constants(rows, bpe.coded, "__coded").select(*docs.columns, "__coded.*")
