@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import uuid
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from .common import let, shuffle_parts, stage
 
 #: Frequent distinct words whose ids are looked up; part counts up to which a fold makes one merge a step.
-DICTIONARY, SHORT = 786_432, 48
+DICTIONARY, SHORT = 524_288, 48
 #: Bits of an id. A pair is two ids side by side; an entry of the rank table is a pair and the rank of both together.
 BITS = 20
 NONE = 1 << BITS
@@ -204,23 +205,27 @@ class ByteBpe:
         pieces, pattern, names = self.by_id, self.pattern, docs.columns
 
         def run(batches):
-            find, ids_of = _loaded(key, shared, pattern)
+            piece = pieces.__getitem__
+            find, known_ids = _loaded(key, shared, pattern)
             for whole in batches:
                 for i in range(0, whole.num_rows, 512):
                     batch = whole.slice(i, 512)
                     rest, ids, texts = [], [], []
                     for text in batch.column(text_col).to_pylist():
-                        found = [ids_of.get(w, w) for w in find(text or "")]
-                        own, at = [], 0
-                        stretches = []
-                        for j in [j for j, x in enumerate(found) if x.__class__ is str]:
-                            own.append(found[j])
+                        words = find(text or "")
+                        found = list(map(known_ids, words))
+                        own, stretches, at = [], [], 0
+                        for _ in range(found.count(None)):
+                            j = found.index(None, at)
+                            own.append(words[j])
                             stretches.append(b"".join(found[at:j]))
                             at = j + 1
                         stretches.append(b"".join(found[at:]))
                         rest.append(own)
                         ids.append(stretches)
-                        texts.append([b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in stretches])
+                        decoded = list(map(piece, np.frombuffer(b"".join(stretches), "<u4").tolist()))
+                        cuts = [0, *itertools.accumulate(len(x) // 4 for x in stretches)]
+                        texts.append([b"".join(decoded[a:b]) for a, b in zip(cuts, cuts[1:])])
                     packed = pa.array(ids, pa.list_(pa.binary()))
                     flat = np.frombuffer(b"".join(x for xs in ids for x in xs), "<i4")
                     ends = np.cumsum([0, *(len(x) // 4 for xs in ids for x in xs)], dtype=np.int32)
@@ -256,7 +261,7 @@ def _loaded(key: str, shared, pattern: str):
         table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
         ids = table.column("ids").combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.cumsum([0, *pc.list_value_length(ids).to_pylist()]) * 4).tolist()
-        _memo[:] = [key, regex.compile(pattern).findall, {w: flat[a:b] for w, a, b in zip(table.column("w").to_pylist(), ends, ends[1:])}]
+        _memo[:] = [key, regex.compile(pattern).findall, {w: flat[a:b] for w, a, b in zip(table.column("w").to_pylist(), ends, ends[1:])}.get]
     return _memo[1:]
 
 
