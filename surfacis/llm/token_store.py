@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,9 +21,9 @@ from .common import in_ranges, new_path, running_sum, stage
 #: Ids in the rolling window; chunks have LEAST to MOST ids, about MEAN.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
 #: Words and chunk keys that a Python worker remembers at most.
-MEMO_WORDS, MEMO_KEYS = 600_000, 200_000
+MEMO_WORDS, MEMO_KEYS = 800_000, 200_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, Encoder] = {}
 _powers: list[np.ndarray] = []
 
 
@@ -62,14 +63,55 @@ def merkle(keys: list[bytes]) -> bytes:
     return keys[0] if keys else hashlib.blake2b(b"", digest_size=16).digest()
 
 
-def _encoder(path: str):
-    if path not in _tokenizers:
+#: The parts of a tokenizer file for which words may be encoded one by one, as encode_words() does.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SUFFIX = "</w>"
+#: Words to a call of the tokenizers library.
+_JOINED = 64
+
+
+class Encoder:
+    """A tokenizer of the tokenizers library, what its worker remembers of words, and whether it is of the kind whose words can be remembered."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = (t, {}, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"))
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.tokenizer, self.old, self.young = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
+        self.added = [a["content"] for a in told.get("added_tokens", [])]
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_word = told.get("normalizer") == _NORMALIZER and splits[0].get("pattern") == {"Regex": _PATTERN} and len(splits) == 2 and told["model"].get("end_of_word_suffix") == _SUFFIX
+        self.by_word = self.by_word and told["model"].get("dropout") is None and told.get("post_processor") is None and all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in told["added_tokens"])
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for k, i in vocab.items() if k.endswith(_SUFFIX)]] = True
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The library's own call."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; all others have calls of their own."""
+        out, letters = {}, [w for w in words if w.isalpha() and w.lower().isalpha()]
+        groups = [letters[i : i + _JOINED] for i in range(0, len(letters), _JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            if len(cuts) == len(group) and cuts[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self.plain(rest)))
+        return [out[w] for w in words]
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _tokenizers:
+        _tokenizers[path] = Encoder(path)
     return _tokenizers[path]
 
 
@@ -83,37 +125,47 @@ def _core(w: bytes) -> bytes | None:
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """Ids of every text as packed integers. ASCII white space, which the tokenizer drops, parts a text into words, and closing punctuation a word; each distinct part is encoded by the tokenizers library once while the memo holds it.
+    """Ids of every text as packed integers, as the library's plain call gives them. Where the tokenizer drops white space and splits words by the rules above, ASCII white space parts a text into words, and closing punctuation a word; each distinct part is encoded once while the memo holds it. Texts with the string of an added token, and all texts of other tokenizers, go to the plain call.
 
     The memo has two generations of MEMO_WORDS words at most: when the young one is full, it takes the place of the old one.
     """
-    tokenizer, memo, kind = _encoder(path)
+    coder = _encoder(path)
+    whole = [i for i, t in enumerate(texts) if not coder.by_word or any(a in t for a in coder.added)]
+    if whole:
+        out, gone = dict(zip(whole, coder.plain([texts[i] for i in whole]))), set(whole)
+        others = iter(encode_words([t for i, t in enumerate(texts) if i not in gone], path) if len(whole) < len(texts) else ())
+        return [out[i] if i in gone else next(others) for i in range(len(texts))]
+    old, young = coder.old, coder.young
     split = [t.encode("utf-8", "replace").split() for t in texts]
-    old, young = memo.get("old", {}), memo.get("young", {})
-    found, parts = [], {}
-    for w in set().union(*split).difference(young):
+    known, holes = [list(map(young.get, words)) for words in split], []
+    for words, ids in zip(split, known):
+        at = 0
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at) + 1
+            holes.append((ids, at - 1, words[at - 1]))
+    parts, joined = {}, []
+    for w in {w for _, _, w in holes}:
         if (ids := old.get(w)) is not None:
             young[w] = ids
             continue
         core = _core(w)
-        pieces = (w,) if core is None else (core,) if len(core) == len(w) else (core, w[len(core) :])
-        found.append((w, pieces))
-        for x in pieces:
-            if x not in parts:
-                parts[x] = young.get(x) or old.get(x)
-    new = [x for x, ids in parts.items() if ids is None]
-    for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-        parts[x] = e.ids
-    flat, at, size = np.fromiter((i for x in new for i in parts[x]), kind).tobytes(), 0, kind.itemsize
-    for x in new:
-        end = at + size * len(parts[x])
-        parts[x], at = flat[at:end], end
-    young.update(parts)
-    for w, pieces in found:
-        young[w] = parts[pieces[0]] if len(pieces) == 1 else parts[pieces[0]] + parts[pieces[1]]
-    out = [b"".join(map(young.__getitem__, words)) for words in split]
-    memo["old"], memo["young"] = (young, {}) if len(young) > MEMO_WORDS else (old, young)
-    return out
+        mark = b"" if core is None else w[len(core) :]
+        core = w if core is None else core
+        parts[core] = None
+        if mark:
+            parts[mark] = None
+        if core != w:
+            joined.append((w, core, mark))
+    new = [x for x in parts if x not in young and x not in old]
+    young.update(zip(new, coder.words([x.decode() for x in new])))
+    for x in parts.keys() - young.keys():
+        young[x] = old[x]
+    for w, core, mark in joined:
+        young[w] = young[core] + young[mark] if mark else young[core]
+    for ids, at, w in holes:
+        ids[at] = young[w]
+    coder.old, coder.young = (young, {}) if len(young) > MEMO_WORDS else (old, young)
+    return [b"".join(ids) for ids in known]
 
 
 _CHUNK = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
@@ -122,7 +174,7 @@ _CHUNK = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and scanning the memo's words costs more than encoding them
-        kind, sent = _encoder(path)[2], set()
+        kind, sent = _encoder(path).kind, set()
         end = np.array([end_id], kind).tobytes()
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
@@ -270,6 +322,6 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     recipes = in_ranges(recipes, order, "recipes").withColumn("row", F.monotonically_increasing_id())
     stage_rows = recipes.sortWithinPartitions("__pid", *order)
     stage_rows.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    store = TokenStore(spark, path, int(str(_encoder(tokenizer_path)[2].itemsize)))
+    store = TokenStore(spark, path, _encoder(tokenizer_path).kind.itemsize)
     _manifest(store.read("recipes")).write.parquet(f"{path}/manifest")
     return store
