@@ -202,12 +202,12 @@ def _kept_keys(bloom):
 
 
 def _sets(words: int, bloom):
-    """Sets of the texts whose id the filter lets through: the high 40 bits of each sorted hash, in 5 bytes."""
+    """Sets of the texts whose id the filter lets through, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_may_hold(bloom.value, batch.column("h").to_numpy(zero_copy_only=False))))
-            packed = [_distinct(shingle_set(t, words) >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in batch.column("text").to_pylist()]
+            packed = [shingle_set(t, words).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "s"])
 
     return run
@@ -215,13 +215,7 @@ def _sets(words: int, bloom):
 
 def common(u: pd.Series, v: pd.Series) -> pd.Series:
     """Elements that two packed sets share."""
-
-    def numbers(raw) -> np.ndarray:
-        out = np.zeros((len(raw) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return out.view("<i8").ravel()
-
-    return pd.Series([len(np.intersect1d(numbers(a), numbers(b), assume_unique=True)) for a, b in zip(u, v)], dtype="int64")
+    return pd.Series([len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True)) for a, b in zip(u, v)], dtype="int64")
 
 
 def _sketch_near(p: int, q: int) -> str:
@@ -231,7 +225,7 @@ def _sketch_near(p: int, q: int) -> str:
 
 
 def similarity_links(docs: DataFrame, words: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: id, n_shingles, rep for every row with an id, rep the smallest id with the same shingle set (its own without words). links: u, v, pairs of reps with Jaccard similarity p/q or more that join all that such pairs connect.
+    """(members, links). members: id, n_shingles, rep for every row, rep the smallest id with the same shingle set (its own without words). links: u, v, pairs of reps with Jaccard similarity p/q or more that join all that such pairs connect.
 
     Two sets linked agree in a block of their size band (see schemes()), so every link shares a bucket. A bucket's
     rows aren't paired: its smallest id is its hub. First every row is held against its smallest hub, then against the others
@@ -240,12 +234,14 @@ def similarity_links(docs: DataFrame, words: int, p: int, q: int, id_col: str =
     within a component that are left out connect nothing new.
     """
     kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    made = texts.mapInArrow(_features(words, p, q), f"id {kind}, n long, g1 long, g2 long, keys array<long>, sketch array<long>, wide binary")
-    feats = stage(made, "jaccard-features")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = every.where("id IS NOT NULL")
+    made = every.mapInArrow(_features(words, p, q), f"id {kind}, n long, g1 long, g2 long, keys array<long>, sketch array<long>, wide binary")
+    all_feats = stage(made, "jaccard-features")
+    feats = all_feats.where("id IS NOT NULL")
     nodes = stage(feats.where("n > 0").groupBy("g1", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "jaccard-nodes")
     same = nodes.select("g1", "g2", F.col("id").alias("rep"))
-    members = stage(feats.select("id", "n", "g1", "g2").join(same, ["g1", "g2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "jaccard-members")
+    members = stage(all_feats.select("id", "n", "g1", "g2").join(same, ["g1", "g2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "jaccard-members")
     nodes = nodes.drop("g2")
 
     keyed = feats.where("n > 0").select("g1", F.explode("keys").alias("key"))
@@ -361,10 +357,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5,
     Texts link when their sets of distinct word shingles (A-Z lower-cased, ASCII white space between words)
     have a Jaccard similarity of p/q or more; component_id is the smallest id reachable, kept whether it is the
     row's own. Fewer words than a shingle count as one; null, empty or blank texts link with nothing. Rows that share
-    an id must be copies (each is returned); rows without an id can't be named in a result and are left out. An
+    an id must be copies (each is returned); a row without an id has the component
+    of the rows whose set equals its own, or null, and links nothing itself. An
     empty table gives an empty table; other columns are dropped. Nothing is capped or sampled.
     """
     members, links = similarity_links(docs, words, p, q, id_col, text_col)
     comp = connected(links).select(F.col("id").alias("rep"), "component")
     out = members.join(comp, "rep", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col(id_col))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(False)))

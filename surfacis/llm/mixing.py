@@ -41,8 +41,8 @@ def whole(goal: dict) -> dict:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None) -> DataFrame:
-    """What a mix takes of each row: id_col, source, size, source_size, target, taken and first_at.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What a mix takes of each row: id_col, source, size, source_size, target, taken and first_at, with the columns of carry.
 
     Every source queues all its rows in a shuffled order (a hash of seed, id and text), epochs times over. A row
     finishes at the source's words so far divided by its target in whole words, so all sources reach their target at 1; a row
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     driver to share the budget, nothing else. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), F.xxhash64(text_col).alias("h"), *[F.col(c).alias(f"__{c}") for c in carry])
     rows = rows.withColumn("at", F.xxhash64(F.lit(seed), "id", "h"))
     order = [F.col("source").asc_nulls_last(), F.col("at"), F.col("id"), F.col("h"), F.col("row")]
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
@@ -78,4 +78,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     cut = queue.withColumn("words", F.least(F.col("words"), F.greatest(F.lit(budget) - F.col("mix_at"), F.lit(0)))).where("words > 0")
     taken = cut.groupBy("row").agg(F.sum("words").alias("taken"), F.min("mix_at").alias("first_at"))
     out = placed.join(taken, "row", "left")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_at", "h")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_at", "h", *[F.col(f"__{c}").alias(c) for c in carry])
