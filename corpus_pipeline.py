@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from surfacis.llm import bpe, jaccard_join, line_dedup, mixing, quality
 from surfacis.llm.common import new_path, table
+from surfacis.llm.common import stage as staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,17 +28,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(line_dedup.dedup_lines(docs, min_docs=10))
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, staged, so that it stays: rows without an id or with a shared one are rows of their own."""
+    return staged(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles; a row of each repeated one."""
-    kept = jaccard_join.jaccard_components(docs, words=5, p=4, q=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the smallest id, null ids last, and of rows that share it the first. Texts without words link with nothing and stay."""
+    rows = _numbered(docs, "pipeline-rows")
+    group = jaccard_join.jaccard_components(rows, words=5, p=4, q=5, id_col="__row").select("__row", F.col("component_id").alias("__group"))
+    grouped = staged(rows.join(group, "__row"), "pipeline-groups")
+    first = grouped.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("__first")).select(F.col("__first.__row").alias("__row"))
+    return grouped.join(first, "__row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix begins them: once for each pass over its source, so no more than twice; those that the budget doesn't reach go."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")).dropDuplicates(["__id"])
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
+    rows = _numbered(docs, "pipeline-rows")
+    taken = mixing.mix(rows, carry=("__row",)).where("taken > 0").select("__row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
