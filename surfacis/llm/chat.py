@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CONTROL = r"([<\[])(~*)(\|[a-z_]+\|>|/?s>|/?INST\])"
 ESCAPED = r"([<\[])~(~*)(\|[a-z_]+\|>|/?s>|/?INST\])"
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+#: Kinds of attachments with a placeholder of their own; every other kind is an attachment whose name stands, escaped, before a CLOSE. A PART mark parts two texts that follow each other.
+KINDS, OTHER, CLOSE, SPLIT = ("image", "audio", "document"), "<|attachment|>", "<|close|>", "<|part|>"
 #: Tokens that an attachment takes once expanded: an image by tiles of 28 x 28 pixels, audio by seconds, a document by pages.
 IMAGE_TILE, AUDIO_TOKENS_S, PAGE_TOKENS = 28, 25, 512
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -36,9 +38,34 @@ def part_tokens(p: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """Flatten a turn's parts in order: text escaped, every other kind a placeholder <|kind|>."""
-    kind = lambda p: F.regexp_replace(F.lower(F.coalesce(p["type"], F.lit("unknown"))), "[^a-z_]", "_")
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>")))), "")
+    """Flatten a turn's parts in order: text escaped, every other kind a placeholder. No part can write a control string of a turn: kinds come from a fixed list, and another kind's name is escaped as text is."""
+    parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
+    known = lambda p: F.coalesce(p["type"].isin(*KINDS), F.lit(False))
+    is_text = lambda p: F.coalesce(p["type"] == "text", F.lit(False))
+
+    def part(p: Column, i: Column) -> Column:
+        joint = F.when((i > 0) & is_text(F.get(parts, i - 1)), SPLIT).otherwise("")
+        text = F.concat(joint, escape(F.coalesce(p["text"], F.lit(""))))
+        other = F.concat(F.lit(OTHER), escape(F.coalesce(p["type"], F.lit(""))), F.lit(CLOSE))
+        return F.when(is_text(p), text).when(known(p), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(other)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+def read_parts(body: Column) -> Column:
+    """type and text of the parts in a turn's body: texts unescaped, attachments without text, in order. An empty text beside an attachment leaves no trace."""
+    names = "|".join(KINDS)
+    pieces = F.split(body, rf"(?=<\|(?:{names}|attachment|part)\|>)|(?<=<\|(?:{names}|close|part)\|>)", -1)
+    pieces = F.filter(pieces, lambda x: (x != "") & (x != SPLIT))
+    row = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
+    none = F.lit(None).cast("string")
+
+    def part(x: Column) -> Column:
+        kind = F.regexp_extract(x, rf"^<\|({names})\|>$", 1)
+        other = F.substring(x, F.lit(len(OTHER) + 1), F.length(x) - len(OTHER + CLOSE))
+        return F.when(kind != "", row(kind, none)).when(F.startswith(x, F.lit(OTHER)), row(unescape(other), none)).otherwise(row(F.lit("text"), unescape(x)))
+
+    return F.transform(pieces, part)
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
@@ -67,9 +94,10 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Add turns (array of role, text), parsed from formatted, and loss_text, the text under the loss mask, unescaped."""
+    """Add turns (array of role, text, parts), parsed from formatted, and loss_text, all text of parts under the loss mask, unescaped. parts tells a placeholder from a text that reads like one; text is the body as it reads, placeholders included."""
     pieces = F.split("formatted", r"<\|turn\|>", -1)
     turn = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda s: F.split(s, r"<\|body\|>|<\|end\|>", -1))
-    turns = F.transform(turn, lambda s: F.struct(unescape(s[0]).alias("role"), unescape(s[1]).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["len"]))), "")
+    turns = F.transform(turn, lambda s: F.struct(unescape(s[0]).alias("role"), unescape(s[1]).alias("text"), read_parts(s[1]).alias("parts")))
+    said = lambda s: F.array_join(F.transform(read_parts(F.substring(F.col("formatted"), s["start"], s["len"])), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    loss = F.array_join(F.transform("loss_spans", said), "")
     return formatted.withColumn("turns", turns).withColumn("loss_text", loss)
