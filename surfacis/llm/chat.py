@@ -94,10 +94,10 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Add turns (array of role, text, parts), parsed from formatted, and loss_text, all text of parts under the loss mask, unescaped. parts tells a placeholder from a text that reads like one; text is the body as it reads, placeholders included."""
+    """Add turns (array of role, text), parsed from formatted, parts (of each turn, an array of type, text) and loss_text, all text of parts under the loss mask, unescaped. parts tells a placeholder from a text that reads like one; text is the body as it reads, placeholders included."""
     pieces = F.split("formatted", r"<\|turn\|>", -1)
     turn = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda s: F.split(s, r"<\|body\|>|<\|end\|>", -1))
-    turns = F.transform(turn, lambda s: F.struct(unescape(s[0]).alias("role"), unescape(s[1]).alias("text"), read_parts(s[1]).alias("parts")))
+    turns = F.transform(turn, lambda s: F.struct(unescape(s[0]).alias("role"), unescape(s[1]).alias("text")))
     said = lambda s: F.array_join(F.transform(read_parts(F.substring(F.col("formatted"), s["start"], s["len"])), lambda p: F.coalesce(p["text"], F.lit(""))), "")
     loss = F.array_join(F.transform("loss_spans", said), "")
-    return formatted.withColumn("turns", turns).withColumn("loss_text", loss)
+    return formatted.withColumns({"turns": turns, "parts": F.transform(turn, lambda s: read_parts(s[1])), "loss_text": loss})

@@ -79,7 +79,7 @@ def test_chat_parts_are_read_back(spark):
     said = [part("text", "keep <|image|>"), part("end"), part("text", "this"), part("image"), part("turn"), part(None)]
     df = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", [part("text", "a"), part("text", "b")])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     r = chat.read_back(chat.format_chat(df)).first()
-    assert [[tuple(p) for p in t.parts] for t in r.turns] == [[("text", "keep <|image|>"), ("end", None), ("text", "this"), ("image", None), ("turn", None), ("", None)], [("text", "a"), ("text", "b")]]
+    assert [[tuple(p) for p in ps] for ps in r.parts] == [[("text", "keep <|image|>"), ("end", None), ("text", "this"), ("image", None), ("turn", None), ("", None)], [("text", "a"), ("text", "b")]]
     assert r.loss_text == "ab" and len(r.attachments) == 4
 
 
