@@ -133,13 +133,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     which = reps.select("g1", "g2", F.col("id").alias("rep"), "copies")
     members = stage(hashed.select("id", "g1", "g2").join(which, ["g1", "g2"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), "copies"), "vec-members")
 
-    keyed = reps.select("id", "x", "keys", "copies", F.posexplode("keys").alias("t", "key"))
+    keyed = reps.select("id", F.posexplode("keys").alias("t", "key"))  # ids only: vectors come to those that share a bucket
     sizes = reps.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").count().where("count > 1")
     sizes = stage(sizes.select("t", "key", "count", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "vec-tiles")
     batches = int(sizes.agg(F.sum(F.col("count") * F.col("tiles"))).first()[0] or 0) // BATCH + 1
     tiled = keyed.join(sizes.drop("count"), ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("t", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "x", "keys", "copies")
+    tiled = tiled.select("t", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id").join(reps.select("id", "x", "keys", "copies"), "id")
     tiled = tiled.withColumn("batch", F.pmod(F.xxhash64("t", "key", "a", "b"), F.lit(batches)))
     found = stage(tiled.groupBy("batch").applyInPandas(_pairs(cosine), "u long, v long, n long"), "vec-links")
     comp = connected(found.where("v IS NOT NULL").select("u", "v"))
