@@ -201,7 +201,7 @@ class ByteBpe:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, known.schema) as out:
             out.write_table(known)
-        shared, key = self.spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+        shared, key = self.spark.sparkContext.broadcast(sink.getvalue()), uuid.uuid4().hex
         pieces, pattern, names = self.by_id, self.pattern, docs.columns
 
         def run(batches):

@@ -288,3 +288,18 @@ def test_decoded_digest_is_the_texts(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     r = bpe.encode_documents(spark.createDataFrame([(1, "déjà vu")], "doc_id long, text string"), path, public_tokenizers.PATTERN, dictionary=1).first()
     assert hashlib.sha256(bytes(r.decoded)).digest() == hashlib.sha256("déjà vu".encode()).digest()
+
+
+def test_lasso_weights_are_optimal():
+    rng = np.random.default_rng(5)
+    x = (rng.random((600, 12)) < 0.4).astype(np.uint8)
+    x[:, 5] = x[:, 4]  # a rule that repeats
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2.0 * x[:, 0] - 1.5 * x[:, 1] + 0.2)))).astype(float)
+    strength = 0.01
+    w = quality.lasso_weights(x, y, strength)
+    wide = np.column_stack([x, np.ones(600)])
+    slope = wide.T @ (1 / (1 + np.exp(-(wide @ w))) - y) / 600
+    used = w[:-1] != 0
+    assert 2 <= used.sum() < 12 and abs(slope[-1]) < 1e-6
+    assert np.allclose(slope[:-1][used], -strength * np.sign(w[:-1][used]), atol=1e-6)
+    assert (np.abs(slope[:-1][~used]) <= strength + 1e-6).all()
