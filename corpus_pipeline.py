@@ -57,7 +57,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("tokens", token_stage)]
 
-#: SQL has no trees, lasso or BPE. Tests cover the stages' operators; no test runs the pipeline itself.
+#: SQL has no trees, lasso or BPE. tests/llm runs the pipeline over a small folder, decodes its ids and holds the near-duplicate stage's rows against brute force.
 ORACLE_SQL = None
 
 

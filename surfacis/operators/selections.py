@@ -48,9 +48,12 @@ def buried_atoms(atoms: DataFrame, interfaces: DataFrame, **options) -> DataFram
     sets = ok.select("structure_id", "id", F.inline(parts)).select("structure_id", "id", "part", F.explode("c").alias("chain"))
     rows = atoms.join(sets, ["structure_id", "chain"])
     got = shrake_rupley(rows, key=["structure_id", "id", "part"], **options)
-    alone = got.where("part <> 'ab'").select("structure_id", "id", "atom_index", F.col("part").alias("partner"), F.col("exposed").alias("isolated"), F.col("area").alias("isolated_area"))
-    both = got.where("part = 'ab'").select("structure_id", "id", "atom_index", F.col("exposed").alias("complex"), F.col("area").alias("complex_area"))
-    return alone.join(both, ["structure_id", "id", "atom_index"]).withColumn("delta", F.col("isolated_area") - F.col("complex_area"))
+    both = F.col("part") == "ab"
+    of = lambda mine, c: F.max(F.when(mine, F.col(c)))
+    rows = got.groupBy("structure_id", "id", "atom_index").agg(
+        of(~both, "part").alias("partner"), of(~both, "exposed").alias("isolated"), of(~both, "area").alias("isolated_area"), of(both, "exposed").alias("complex"), of(both, "area").alias("complex_area"),
+    )
+    return rows.withColumn("delta", F.col("isolated_area") - F.col("complex_area"))
 
 
 def interface_areas(atoms: DataFrame, interfaces: DataFrame, **options) -> DataFrame:

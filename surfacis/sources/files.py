@@ -221,19 +221,48 @@ def read_components(spark: SparkSession, paths: str | list[str], ids: list[str]
 
 
 def read_chain_map(spark: SparkSession, path: str) -> DataFrame:
-    """filename, chains (array), id, asym_id_type of a CSV with a header in any case; rows checked by checked_map()."""
-    rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    rows = rows.toDF(*[c.strip("﻿ ").lower() for c in rows.columns])
-    for c, v in (("id", F.lit(None).cast("string")), ("asym_id_type", F.lit("label"))):
+    """filename, chains (array), id, asym_id_type of a CSV with a header in any case, or of a JSON array of objects (.json); rows checked by checked_map()."""
+    rows = _map_rows(spark, path, ["chains"])
+    return checked_map(rows.select("filename", "chains", "id", "asym_id_type"))
+
+
+def read_interface_map(spark: SparkSession, path: str) -> DataFrame:
+    """filename, partner_a and partner_b (arrays), id, asym_id_type of a CSV or JSON file, checked as chain maps are; no partner may be empty."""
+    rows = _map_rows(spark, path, ["partner_a", "partner_b"])
+    either = F.when((F.size("partner_a") > 0) & (F.size("partner_b") > 0), F.concat("partner_a", "partner_b"))
+    return checked_map(rows.select("filename", "partner_a", "partner_b", "id", "asym_id_type", either.alias("chains"))).drop("chains")
+
+
+def _map_rows(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
+    """Rows of a map file: texts of lists split at commas, asym_id_type label or auth in lower case, label where there is none."""
+    if path.lower().endswith(".json"):
+        rows = spark.read.schema(", ".join(["filename string", "id string", *(f"{c} array<string>" for c in lists), "asym_id_type string"])).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    else:
+        rows = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        rows = rows.toDF(*[c.strip("\ufeff ").lower() for c in rows.columns])
+        if missing := [c for c in ("filename", *lists) if c not in rows.columns]:
+            raise InputError(f"map columns needed: {', '.join(missing)}")
+        rows = rows.withColumns({c: F.split(c, ",") for c in lists})
+    for c in ("id", "asym_id_type"):
         if c not in rows.columns:
-            rows = rows.withColumn(c, v)
-    return checked_map(rows.select("filename", F.transform(F.split("chains", ","), lambda c: F.trim(c)).alias("chains"), "id", F.coalesce("asym_id_type", F.lit("label")).alias("asym_id_type")))
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    kind = F.coalesce(F.nullif(F.lower(F.trim("asym_id_type")), F.lit("")), F.lit("label"))
+    return rows.withColumns({c: F.transform(c, lambda x: F.trim(x)) for c in lists} | {"asym_id_type": kind})
+
+
+def matched_files(entries: DataFrame, structures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries whose filename is one of structures, errors: filename and error of the entries without a file and the files without an entry). Rows of structures may repeat a filename."""
+    there = structures.select("filename").distinct().withColumn("__file", F.lit(True))
+    named = entries.select("filename").distinct().withColumn("__entry", F.lit(True))
+    both = there.join(named, "filename", "full_outer")
+    error = F.when(F.col("__file").isNull(), "input file not found").when(F.col("__entry").isNull(), "file is not in the map")
+    return entries.join(there, "filename", "left_semi"), both.select("filename", error.alias("error")).where("error IS NOT NULL")
 
 
 def checked_map(rows: DataFrame) -> DataFrame:
-    """rows, or an error: an id is needed where a file repeats, ids are unique, a file has one asym_id_type, chains are not empty."""
-    per = rows.groupBy("filename").agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.count_distinct("asym_id_type").alias("types"), F.max(F.exists("chains", lambda c: c == "")).alias("blank"))
-    bad = per.where("(n > 1 AND ids < n) OR types > 1 OR blank OR blank IS NULL").limit(1).collect()
+    """rows, or an error: an id is needed where a file repeats, ids are unique, a file has one asym_id_type, label or auth, chains are not empty."""
+    per = rows.groupBy("filename").agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.count_distinct("asym_id_type").alias("types"), F.max((F.size("chains") == 0) | F.exists("chains", lambda c: c == "")).alias("blank"), F.max(~F.col("asym_id_type").isin("label", "auth")).alias("kind"))
+    bad = per.where("(n > 1 AND ids < n) OR types > 1 OR kind OR blank OR blank IS NULL").limit(1).collect()
     twice = rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).collect()
     if bad or twice:
         raise InputError(f"chain map: check {bad[0].filename if bad else twice[0].id}")

@@ -1 +1 @@
-
+"""Frames as they arrive."""

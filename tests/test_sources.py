@@ -117,3 +117,25 @@ def test_sinks(spark, tmp_path):
     part = [f for f in os.listdir(tmp_path / "out" / "structure_id=s") if f.startswith("part-")]
     assert (tmp_path / "out" / "structure_id=s" / part[0]).read_text() == "atom_index,area\n0,-0.001000\n1,2.250000\ntotal,2.249000\n"
     assert sinks.json_rows(areas.limit(0)).count() == 0
+
+
+def test_json_and_interface_maps(spark, tmp_path):
+    path = tmp_path / "map.json"
+    path.write_text('[{"filename": "a.cif", "chains": ["A", "C"]}, {"filename": "b.cif", "chains": ["X"], "asym_id_type": "AUTH"}]')
+    assert sorted((r.filename, r.chains, r.asym_id_type) for r in files.read_chain_map(spark, str(path)).collect()) == [("a.cif", ["A", "C"], "label"), ("b.cif", ["X"], "auth")]
+    path.write_text('[{"filename": "a.cif", "chains": []}]')
+    with pytest.raises(InputError):
+        files.read_chain_map(spark, str(path))
+    face = tmp_path / "faces.csv"
+    face.write_text('filename,Partner_A,partner_b\na.cif,"A,B",C\n')
+    assert [(r.filename, r.partner_a, r.partner_b, r.id) for r in files.read_interface_map(spark, str(face)).collect()] == [("a.cif", ["A", "B"], ["C"], None)]
+    face.write_text("filename,partner_a\na.cif,A\n")
+    with pytest.raises(InputError):
+        files.read_interface_map(spark, str(face))
+
+
+def test_map_rows_without_files_and_files_without_rows(spark):
+    entries = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "filename string, id string")
+    found, errors = files.matched_files(entries, spark.createDataFrame([("a",), ("a",), ("c",)], "filename string"))
+    assert sorted(r.id for r in found.collect()) == ["x", "y"]
+    assert sorted(map(tuple, errors.collect())) == [("b", "input file not found"), ("c", "file is not in the map")]

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from surfacis.functions.geometry import sphere_points
-from surfacis.operators import classify, policies, selections, surface
+from surfacis.operators import analysis, classify, policies, selections, surface, trajectory
 from surfacis.operators.neighbors import neighbor_pairs
 from surfacis.schema import InputError, validate
+from surfacis.streaming import frames as streaming
 
 COLUMNS = "structure_id string, atom_index int, x double, y double, z double, radius double"
 
@@ -115,3 +116,21 @@ def test_interface_errors(spark):
     got = {r.id: r for r in selections.interface_areas(df, faces).collect()}
     assert got["ok"].error is None and got["ok"].bsa == pytest.approx(got["ok"].delta_sasa_total / 2) and got["ok"].bsa > 0
     assert [got[k].error for k in ("lap", "gone", "none")] == ["partner chain groups overlap", "partner B chain not found", "input structure not found"]
+
+
+def test_batch_summary(spark):
+    rows = spark.createDataFrame([("a", "ok", 5), ("b", "err", None), ("c", "ok", 7)], "structure_id string, status string, n_atoms long")
+    assert tuple(analysis.batch_summary(rows).first()) == (3, 2, 1, 12)
+    assert tuple(analysis.batch_summary(rows.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_frame_stream_equals_the_batch(spark, tmp_path):
+    topology = spark.createDataFrame([("s", 0, 1.5), ("s", 1, 1.7)], "structure_id string, atom_index int, radius double").selectExpr("*", "0D AS x", "0D AS y", "0D AS z")
+    rows = [("s", f, a, a * (1.0 + f), 0.0, 0.0) for f in range(6) for a in range(2)]
+    every = spark.createDataFrame(rows, streaming.FRAMES)
+    every.repartition(3, "frame").write.parquet(str(tmp_path / "in"))
+    stream = streaming.frame_stream(spark, str(tmp_path / "in"), 1)
+    for _ in range(2):  # a second run finds nothing new
+        streaming.write_frame_totals(stream, topology, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    got = {r.frame: r.total_sasa for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == pytest.approx({r.frame: r.total_sasa for r in trajectory.frame_totals(trajectory.frame_areas(topology, every)).collect()}) and len(got) == 6
