@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, fingerprint, jaccard_join, license, line_dedup, mixing, quality, token_store
-from .common import table
+from . import bpe, chat, embed_dedup, fingerprint, html_text, jaccard_join, license, line_dedup, mixing, periodic, quality, repair, token_store
+from .common import SPACE, let, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,107 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_fingerprint, op4_token_store, op5_jaccard_join, op6_quality, op7_license_scan, op8_embedding_dedup, op9_byte_bpe, op10_mixing)}
+def _with_repeats(doc_id: Column, text: Column) -> Column:
+    """Texts of one id in ten with their words from a certain one on replaced by a repeated stretch of them; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = F.lit(1).cast("long") + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        at = lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at), " ")).otherwise("")
+
+    words = F.filter(F.split(text, f"[{SPACE}]+", -1), lambda x: x != "")
+    return F.when(F.pmod(h, F.lit(10)) == 0, let(words, repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of at least 12 words, and texts without their repeats; a null text has no words, a null doc_id no planted repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.collapse_runs(docs, least=12)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null page gives an empty one."""
+    found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns damaged by a hash of their conversation and number: one in twenty each dropped, emptied, without ends of sentences, repeated, and said by the user; nulls are one space."""
+    blank = F.lit(" ")
+    h = F.pmod(F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")), F.lit(20))
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    times = F.when(h == 0, 0).when(h == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", F.when(h == 4, "user").otherwise(role).alias("role"), F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), F.explode(F.array_repeat(F.lit(True), times)))
+    return rows.drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair. Turns that share a number stand by role, then text; a null conv_id is a conversation of its own."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    done = repair.repair(_damaged(turns)).select(F.col("conv_id").alias("id"), *counts, "audit", F.sha2(repair.text_of(F.col("turns")).cast("binary"), 256).alias("repaired_sha256"))
+    ids = turns.select("conv_id").distinct()
+    rows = ids.join(done, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in counts]
+    return rows.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_fingerprint, op4_token_store, op5_jaccard_join, op6_quality, op7_license_scan, op8_embedding_dedup, op9_byte_bpe, op10_mixing, op11_periodic_runs, op12_html_text, op13_conversation_repair)}
 
 _BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ESCAPE = r"regexp_replace({}, '([<\[])(~*)(\|[a-z_]+\|>|/?s>|/?INST\])', '\1~\2\3', 'g')"
 
+
+def _repair_sql() -> str:
+    """The repair by whole layers: for every turn the best cost and audit of each grammar state (1 nothing yet, 2 system, 3 user, 4 assistant), folded over the turns."""
+    best = lambda *ways: f"list_min([{', '.join(ways)}])"
+    way = lambda state, cost, edit, only="true": f"CASE WHEN {only} THEN {{'c': acc[{state}].c + {cost}, 'a': acc[{state}].a || '{edit}'}} ELSE {{'c': 1000000000000::BIGINT, 'a': ''}} END"
+    add = lambda x, only: f"{{'c': {x}.c + CASE WHEN {only} THEN 3 ELSE 1000000000000 END, 'a': {x}.a || 'I'}}"
+    stays, late = "x.fault NOT IN ('b', 'd')", "CASE x.fault WHEN 't' THEN 3 ELSE 0 END"
+    kept = lambda state, initial: way(state, late, "K", f"{stays} AND x.ini = '{initial}'")
+    rerole = lambda state: way(state, f"3 + {late}", "R", stays)
+    e, s = way(1, 4, "D"), best(way(2, 4, "D"), kept(1, "s"))
+    u = best(way(3, 4, "D"), *[f(k) for k in (1, 2, 4) for f in (lambda k: kept(k, "u"), rerole)])
+    a = best(way(4, 4, "D"), kept(3, "a"), rerole(3))
+    moved = f"[{e}, {s}, {u}, {a}]"
+    user = f"list_min([y[3], {add('y[1]', 'true')}, {add('y[2]', 'true')}, {add('y[4]', 'true')}])"
+    closed = f"list_transform([{moved}], lambda y: [y[1], y[2], {user}, list_min([y[4], {add(user, 'true')}])])[1]"
+    start = "[{'c': 0::BIGINT, 'a': ''}, {'c': 1000000000000::BIGINT, 'a': ''}, {'c': 3::BIGINT, 'a': 'I'}, {'c': 6::BIGINT, 'a': 'II'}]"
+    role = "CASE s WHEN 3 THEN 'assistant' ELSE 'user' END"
+    after = "CASE s WHEN 3 THEN 4 ELSE 3 END"
+    at = lambda x: x.replace("CASE s ", "CASE o.s ")
+    said = f"CASE ed WHEN 'D' THEN [] WHEN 'I' THEN [{at(role)} || ':'] WHEN 'R' THEN [{at(role)} || ':' || rows_[o.i + 1].text] ELSE [rows_[o.i + 1].role || ':' || rows_[o.i + 1].text] END"
+    state = f"CASE WHEN ed = 'D' THEN o.s WHEN ed = 'K' AND o.s = 1 AND rows_[o.i + 1].ini = 's' THEN 2 ELSE {at(after)} END"
+    return f"""
+        WITH bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE c & 1 WHEN 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+              FROM conversations, bits),
+        d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+        f AS (SELECT *, CASE WHEN left(role, 1) = '' THEN '-' ELSE left(role, 1) END AS ini, right(rtrim(text, {_BLANKS}), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+        g AS (SELECT conv_id, turn, role, text, ini, copy, CASE WHEN last = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN last IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault,
+              lag(ini) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM f),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+              count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, list({{'role': role, 'text': text, 'ini': ini, 'fault': fault}} ORDER BY turn NULLS FIRST, role, text, copy) AS rows_ FROM g GROUP BY conv_id),
+        w AS (SELECT *, list_reduce(rows_, lambda acc, x: {closed}, {start}) AS ends FROM c),
+        b AS (SELECT *, list_min([ends[1], ends[4]]) AS way FROM w),
+        r AS (SELECT *, list_reduce(string_split(way.a, ''), lambda o, ed: {{'i': o.i + CASE ed WHEN 'I' THEN 0 ELSE 1 END, 's': {state}, 'out': list_concat(o.out, {said})}}, {{'i': 0, 's': 1, 'out': []::VARCHAR[]}}) AS made FROM b)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.c, 0) AS cost, coalesce(way.a, '') AS audit,
+               sha256(coalesce(array_to_string(made.out, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS ids LEFT JOIN r ON ids.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 ORACLE_SQL = {
+    "op13_conversation_repair": _repair_sql(),
     "op1_line_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
