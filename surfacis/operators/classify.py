@@ -87,9 +87,10 @@ def derived_table(comp_atoms: DataFrame, comp_bonds: DataFrame) -> DataFrame:
 
 
 def preferred(tables: list[DataFrame]) -> DataFrame:
-    """Tables in order of precedence, the last one winning for each residue and atom."""
+    """Tables in order of precedence, the last one winning for each residue and atom, with all their columns."""
     out = None
     for i, t in enumerate(tables):
-        t = t.select("residue", "atom_name", "radius", "atom_class", F.lit(i).alias("prio"))
+        rest = [c for c in t.columns if c not in ("residue", "atom_name")]
+        t = t.select("residue", "atom_name", F.struct(*rest).alias("t"), F.lit(i).alias("prio"))
         out = t if out is None else out.unionByName(t)
-    return out.groupBy("residue", "atom_name").agg(F.max_by(F.struct("radius", "atom_class"), "prio").alias("t")).select("residue", "atom_name", "t.*")
+    return out.groupBy("residue", "atom_name").agg(F.max_by("t", "prio").alias("t")).select("residue", "atom_name", "t.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import PROBE, distance2
@@ -10,35 +10,61 @@ from ..functions.geometry import PROBE, distance2
 #: Half of the 27 cells around a cell, so that each pair meets once: the cell itself and the 13 behind it in order.
 HALF_STENCIL = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)]
 
+def widened(probe: float | str) -> Column:
+    """Radius and probe together; a probe of each row's own is the name of a column."""
+    return F.col("radius") + (F.col(probe) if isinstance(probe, str) else probe)
 
-def largest_radius(atoms: DataFrame) -> float:
-    return atoms.agg(F.max("radius")).first()[0] or 0.0
 
+#: Bits that a coordinate takes in the number of a cell.
+_BITS = 21
 
-def neighbor_pairs(atoms: DataFrame, probe: float = PROBE, max_radius: float | None = None, key: str = "structure_id") -> DataFrame:
+
+def neighbor_pairs(atoms: DataFrame, probe: float | str = PROBE, max_radius: float | None = None, key: str = "structure_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """All ordered pairs i, j of atoms of one structure whose probe-widened spheres meet: dist^2 < (r_i + r_j + 2 probe)^2.
 
     Columns: key, i, j, and position and widened radius of j (j_x, j_y, j_z, j_r) and of i. A cell is as wide
     as the largest cutoff, so the pairs of a cell lie in it and its neighbours: an equi-join on (key, cell) with the distance
-    left as a residual, which shuffles by cell and so splits even a single huge structure.
+    left as a residual, which shuffles by cell and so splits even a single huge structure. The largest radius is found within the
+    plan (a scalar subquery) unless max_radius tells it. Rows without a key have no neighbours.
     """
-    width = 2 * ((largest_radius(atoms) if max_radius is None else max_radius) + probe)
-    cell = lambda c: F.floor(F.col(c) / width).cast("int")
-    side = lambda s: [F.col(key), F.col("atom_index").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"], (F.col("radius") + probe).alias(f"{s}_r")]
-    here = atoms.select(*side("i"), cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("cz"))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in HALF_STENCIL])
-    there = atoms.select(*side("j"), cell("x").alias("x0"), cell("y").alias("y0"), cell("z").alias("z0"), F.explode(steps).alias("s"))
-    there = there.withColumns({"cx": F.col("x0") + F.col("s.a"), "cy": F.col("y0") + F.col("s.b"), "cz": F.col("z0") + F.col("s.c")})
-    once = (F.col("i") < F.col("j")) | (F.col("s.a") != 0) | (F.col("s.b") != 0) | (F.col("s.c") != 0)
-    reach = F.col("i_r") + F.col("j_r")
-    pairs = here.join(there, [key, "cx", "cy", "cz"]).where(once & (distance2("i", "j") < reach * reach))
-    ends = ["", "_x", "_y", "_z", "_r"]
+    pairs = half_pairs(atoms, probe, max_radius, key, carry)
+    ends = ["", "_x", "_y", "_z", "_r", *[f"_{c}" for c in carry]]
     forth = F.struct(*[F.col(f"{s}{e}").alias(f"{s}{e}") for s in "ij" for e in ends])
     back = F.struct(*[F.col(f"{'ji'[s == 'j']}{e}").alias(f"{s}{e}") for s in "ij" for e in ends])
     return pairs.select(key, F.inline(F.array(forth, back)))
 
 
+def half_pairs(atoms: DataFrame, probe: float | str = PROBE, max_radius: float | None = None, key: str = "structure_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """neighbor_pairs() with each pair once, in either order, with columns to carry from both sides (i_ and j_ before their names).
+
+    A cell is one number, a sum of its coordinates at 21 bits each, so it takes eight bytes beside the key and a step to a cell beside it is a constant. It is right
+    for a million cells to both sides of the origin; cells further away that share a number are parted by the distance. The join's first key
+    is a hash of both, since sorts go by the first eight bytes, and structures and cells alone have many rows each.
+    """
+    largest = F.coalesce(atoms.agg(F.max(widened(probe))).scalar(), F.lit(1.0)) if max_radius is None else F.lit(float(max_radius) + probe)
+    width = 2 * largest
+    side = lambda s: [F.col("atom_index").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"], widened(probe).alias(f"{s}_r"), *[F.col(c).alias(f"{s}_{c}") for c in carry]]
+    placed = atoms.withColumns({f"cell_{c}": F.floor(F.col(c) / width) for c in "xyz"})
+    placed = placed.withColumn("cell", F.shiftleft("cell_x", 2 * _BITS) + F.shiftleft("cell_y", _BITS) + F.col("cell_z"))
+    here = placed.select(F.col(key), *side("i"), "cell").withColumn("hash", F.xxhash64(key, "cell"))
+    steps = [(a << 2 * _BITS) + (b << _BITS) + c for a, b, c in HALF_STENCIL]
+    there = placed.select(F.col(key), *side("j"), F.col("cell").alias("from"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
+    there = there.withColumn("cell", F.col("from") + F.col("step")).withColumn("other", F.col("step") != 0).drop("from", "step").withColumn("hash", F.xxhash64(key, "cell"))
+    reach = F.col("i_r") + F.col("j_r")
+    return here.join(there, ["hash", key, "cell"]).where((F.col("other") | (F.col("i") < F.col("j"))) & (distance2("i", "j") < reach * reach)).drop("hash", "cell", "other")
+
+
+def keyed_pairs(atoms: DataFrame, probe: float | str, key: list[str], max_radius: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """neighbor_pairs() of atoms with one or more key columns."""
+    if len(key) == 1:
+        return neighbor_pairs(atoms, probe, max_radius, key[0], carry)
+    pairs = neighbor_pairs(atoms.withColumn("keys", F.struct(*key)), probe, max_radius, "keys", carry)
+    return pairs.select(*[F.col(f"keys.{k}").alias(k) for k in key], *[c for c in pairs.columns if c != "keys"])
+
+
 def neighbor_degree(atoms: DataFrame, probe: float = PROBE, max_radius: float | None = None) -> DataFrame:
     """Number of neighbours of every atom, 0 included."""
-    n = neighbor_pairs(atoms, probe, max_radius).groupBy("structure_id", F.col("i").alias("atom_index")).agg(F.count("*").alias("degree"))
+    pairs = half_pairs(atoms, probe, max_radius)
+    ends = pairs.select("structure_id", F.explode(F.array("i", "j")).alias("atom_index"))
+    n = ends.groupBy("structure_id", "atom_index").agg(F.count("*").alias("degree"))
     return atoms.select("structure_id", "atom_index").join(n, ["structure_id", "atom_index"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .surface import shrake_rupley
+from ..functions.geometry import N_POINTS, PROBE, sphere_area
+from .surface import shrake_rupley, sided_points
 
 
 def chain_set(text: Column) -> Column:
@@ -38,21 +39,18 @@ def selection_areas(atoms: DataFrame, entries: DataFrame, **options) -> DataFram
     return out.select("structure_id", "id", "total_area", "n_atoms", F.when(F.col("error").isNull(), "ok").otherwise("err").alias("status"), "error")
 
 
-def buried_atoms(atoms: DataFrame, interfaces: DataFrame, **options) -> DataFrame:
+def buried_atoms(atoms: DataFrame, interfaces: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, **options) -> DataFrame:
     """Per interface (structure_id, id, partner_a, partner_b) and atom: partner, isolated (points free with its partner alone), complex (with both), isolated_area, complex_area, delta.
 
-    Both sides are computed by one kernel pass over three copies of the atoms: A, B and both.
+    Each atom enters once for an interface, marked with its partner; one pass over the neighbours tells both exposures. Interfaces whose partners share a chain give no rows.
     """
-    parts = F.array(F.struct(F.lit("a").alias("part"), F.col("partner_a").alias("c")), F.struct(F.lit("b").alias("part"), F.col("partner_b").alias("c")), F.struct(F.lit("ab").alias("part"), F.concat("partner_a", "partner_b").alias("c")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("partner_a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("partner_b").alias("c")))
     ok = interfaces.where(~F.arrays_overlap("partner_a", "partner_b"))
-    sets = ok.select("structure_id", "id", F.inline(parts)).select("structure_id", "id", "part", F.explode("c").alias("chain"))
-    rows = atoms.join(sets, ["structure_id", "chain"])
-    got = shrake_rupley(rows, key=["structure_id", "id", "part"], **options)
-    both = F.col("part") == "ab"
-    of = lambda mine, c: F.max(F.when(mine, F.col(c)))
-    rows = got.groupBy("structure_id", "id", "atom_index").agg(
-        of(~both, "part").alias("partner"), of(~both, "exposed").alias("isolated"), of(~both, "area").alias("isolated_area"), of(both, "exposed").alias("complex"), of(both, "area").alias("complex_area"),
-    )
+    sets = ok.select("structure_id", "id", F.inline(sides)).select("structure_id", "id", "side", F.explode(F.array_distinct("c")).alias("chain"))
+    rows = atoms.join(sets, ["structure_id", "chain"]).select("structure_id", "id", "atom_index", "x", "y", "z", "radius", "side")
+    got = sided_points(rows, n_points, probe, key=["structure_id", "id"], **options).join(rows.select("structure_id", "id", "atom_index", "side"), ["structure_id", "id", "atom_index"])
+    area = lambda c: sphere_area(F.col("radius") + probe) * F.col(c) / n_points
+    rows = got.select("structure_id", "id", "atom_index", F.when(F.col("side") == 0, "a").otherwise("b").alias("partner"), "isolated", F.col("exposed").alias("complex"), area("isolated").alias("isolated_area"), area("exposed").alias("complex_area"))
     return rows.withColumn("delta", F.col("isolated_area") - F.col("complex_area"))
 
 
@@ -74,5 +72,7 @@ def interface_areas(atoms: DataFrame, interfaces: DataFrame, **options) -> DataF
 
 
 def residue_deltas(buried: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Delta of every residue of an interface (not halved)."""
-    return buried.join(atoms.select("structure_id", "atom_index", "chain", "residue_num", "ins_code"), ["structure_id", "atom_index"]).groupBy("structure_id", "id", "chain", "residue_num", "ins_code").agg(F.sum("delta").alias("delta"))
+    """Areas of every residue of an interface, isolated and in the complex, its partner, and delta (not halved); the name is the first atom's."""
+    rows = buried.join(atoms.select("structure_id", "atom_index", "chain", "residue_num", "ins_code", "residue"), ["structure_id", "atom_index"])
+    sums = [F.sum(c).alias(c) for c in ("isolated_area", "complex_area", "delta")]
+    return rows.groupBy("structure_id", "id", "partner", "chain", "residue_num", "ins_code").agg(F.min_by("residue", "atom_index").alias("residue"), F.min("atom_index").alias("first_atom"), F.count("*").alias("n_atoms"), *sums)

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.elements import MAX_SASA, POLAR, NONPOLAR, RADIUS_BY_NUMBER, RADIUS_BY_SYMBOL, element_of_name, guessed_radius
-from ..functions.geometry import sphere_points
-from ..operators import analysis, classify, neighbors, policies, selections, surface, trajectory
+from ..functions.geometry import N_POINTS, N_SLICES, PROBE, sphere_points
+from ..operators import analysis, batch, classify, components, masks, neighbors, policies, selections, surface, trajectory
+from ..sources import sinks
 from ..sources.pseudo import ATOMS_SQL, pseudo_atoms
 
-POINTS, PROBE = 32, 1.4
+POINTS, SLICES = N_POINTS, N_SLICES
+#: Points and thresholds of the adaptive passes, and atoms from which sr_routed spreads a structure: about the median of the pseudo-structures at every scale.
+COARSE, FINE, LOW, HIGH = 64, 256, 0.10, 0.90
+ROUTED = 600
 #: A small classifier: exact rows and rows for any residue.
 CLASSES = [("ALA", "CA", 1.87, "apolar"), ("SER", "OG1", 1.4, "polar"), ("ANY", "N", 1.65, "polar"), ("ANY", "O", 1.4, "polar"), ("ANY", "C", 1.76, "apolar"), ("GLY", "N", 1.7, "polar")]
 
@@ -47,7 +51,7 @@ def sr_total(spark, d):
 
 
 def lr_total(spark, d):
-    return surface.totals(surface.lee_richards(pseudo_atoms(spark, d), n_slices=8)).select("structure_id", "n_atoms", F.round("total_area", 2).alias("total_area"))
+    return surface.totals(surface.lee_richards(pseudo_atoms(spark, d), n_slices=SLICES)).select("structure_id", "n_atoms", F.round("total_area", 2).alias("total_area"))
 
 
 def residue_areas(spark, d):
@@ -137,9 +141,13 @@ def chain_selections(spark, d):
     return selections.selection_areas(atoms, entries, n_points=POINTS, probe=PROBE).select("structure_id", "id", "n_atoms", "status", "error", *_r("total_area"))
 
 
+def _faces(atoms: DataFrame) -> DataFrame:
+    return atoms.select("structure_id").distinct().select("structure_id", F.lit("a-r").alias("id"), F.array(F.lit("A")).alias("partner_a"), F.array(F.lit("R")).alias("partner_b"))
+
+
 def buried_surface(spark, d):
     atoms = pseudo_atoms(spark, d)
-    faces = atoms.select("structure_id").distinct().select("structure_id", F.lit("a-r").alias("id"), F.array(F.lit("A")).alias("partner_a"), F.array(F.lit("R")).alias("partner_b"))
+    faces = _faces(atoms)
     return selections.interface_areas(atoms, faces, n_points=POINTS, probe=PROBE).select("structure_id", "id", "error", *_r("sasa_partner_a", "sasa_partner_b", "sasa_complex", "delta_sasa_total"), F.round("bsa", 2).alias("bsa"))
 
 
@@ -161,9 +169,123 @@ def trajectory_residues(spark, d):
     return analysis.dense_residues(areas, ["structure_id", "frame"]).select("structure_id", "frame", "residue_index", *_r("area"))
 
 
+def sr_routed(spark, d):
+    """Areas of atoms by the plan that each structure's size asks for."""
+    return _areas(pseudo_atoms(spark, d), large=ROUTED).select("structure_id", "atom_index", "exposed", *_r("area"))
+
+
+def sr_bitmask(spark, d):
+    """Areas of atoms from masks, and with the correction."""
+    areas = masks.bitmask_areas(pseudo_atoms(spark, d), POINTS, PROBE)
+    f = F.col("exposed") / POINTS
+    return areas.select("structure_id", "atom_index", "exposed", *_r("area"), F.round(F.when(f > 0, F.col("area") / f).otherwise(0.0) * F.least(F.lit(1.0), f + masks.CORRECTION * f * (1 - f)), 3).alias("corrected"))
+
+
+def sr_bitmask_corrected(spark, d):
+    """Corrected areas of structures from masks."""
+    return surface.totals(masks.bitmask_areas(pseudo_atoms(spark, d), POINTS, PROBE, correction=masks.CORRECTION)).select("structure_id", "n_atoms", *_r("total_area"))
+
+
+def sr_adaptive(spark, d):
+    """Areas of atoms in two passes, with the points of the pass that counts."""
+    return masks.adaptive_areas(pseudo_atoms(spark, d), COARSE, FINE, LOW, HIGH, PROBE).select("structure_id", "atom_index", "points", "exposed", *_r("area"))
+
+
+def frame_variants(spark, d):
+    """Frame totals from masks in the three modes: one table, a table made for each frame (the same points), and four turned tables in turn."""
+    atoms, frames = _frames(spark, d)
+    rows, key = trajectory.placed(atoms, frames), ["structure_id", "frame"]
+    modes = [("single", {}), ("per-frame", {"variant": F.lit(0), "variants": 1}), ("cycle", {"variant": F.col("frame").cast("int") % masks.VARIANTS, "variants": masks.VARIANTS})]
+    out = None
+    for mode, options in modes:
+        got = masks.bitmask_areas(rows, POINTS, PROBE, key=key, **options).groupBy(*key).agg(F.sum("area").alias("total_sasa")).withColumn("mode", F.lit(mode))
+        out = got if out is None else out.unionByName(got)
+    return out.select("mode", "structure_id", "frame", *_r("total_sasa"))
+
+
+_JOBS = """SELECT p_partkey AS job_id, 'SR' AS algorithm, CASE WHEN p_size % 2 = 0 THEN 40 ELSE 60 END AS resolution,
+    CAST(CASE WHEN p_partkey % 50 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1.2 ELSE 1.4 END AS DOUBLE) AS probe,
+    CASE WHEN p_partkey % 37 = 0 THEN 'Z' ELSE CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'N,R' WHEN 2 THEN 'R,N,R' END END AS chain_text FROM part"""
+
+
+def job_areas(spark, d):
+    """Areas of every structure for a job of each part: two resolutions, two probes, some chains or all; a probe of 0 and an unknown chain are error rows."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    jobs = spark.sql(_JOBS.replace("FROM part", "FROM {part}"), part=part).withColumn("chains", F.split("chain_text", ","))
+    return batch.job_areas(pseudo_atoms(spark, d), jobs).select("structure_id", "job_id", "status", "error", "n_atoms", "n_sharing", *_r("total_area"))
+
+
+def _faulty(spark, d):
+    """Pseudo-atoms of which some structures have a coordinate that is no number, radii below 0, or other chains."""
+    x = F.when((F.col("structure_id") % 17 == 3) & (F.col("atom_index") == 5), float("nan")).otherwise(F.col("x"))
+    r = F.when((F.col("structure_id") % 13 == 2) & (F.col("atom_index") % 100 == 7), -1.0).otherwise(F.col("radius"))
+    return pseudo_atoms(spark, d).withColumns({"x": x, "radius": r, "chain": F.when(F.col("structure_id") % 19 == 4, "Z").otherwise(F.col("chain"))})
+
+
+def batch_status(spark, d):
+    """A batch with faulty structures: an error row for each of them, areas for the others."""
+    return batch.batch_areas(_faulty(spark, d), chains=["A", "N"], n_points=POINTS, probe=PROBE).select("structure_id", "status", "error", "n_atoms", *_r("total_area"))
+
+
+def batch_summary(spark, d):
+    return analysis.batch_summary(batch.batch_areas(_faulty(spark, d), chains=["A", "N"], n_points=POINTS, probe=PROBE))
+
+
+def interface_atoms(spark, d):
+    """Atoms of interfaces: points free alone and in the complex, and what is buried."""
+    atoms = pseudo_atoms(spark, d)
+    return selections.buried_atoms(atoms, _faces(atoms), POINTS, PROBE).select("structure_id", "id", "atom_index", "partner", "isolated", "complex", *_r("isolated_area", "complex_area", "delta"))
+
+
+def interface_residues(spark, d):
+    """Residues of interfaces, their areas and what is buried (not halved)."""
+    atoms = pseudo_atoms(spark, d)
+    return selections.residue_deltas(selections.buried_atoms(atoms, _faces(atoms), POINTS, PROBE), atoms).select("structure_id", "id", "partner", "chain", "residue_num", "ins_code", "residue", "n_atoms", *_r("isolated_area", "complex_area", "delta"))
+
+
+def residue_map_json(spark, d):
+    """Result documents of structures with the runs of their residues as arrays."""
+    rows = _rows(spark, d)
+    return sinks.residue_map_rows(analysis.runs(rows), rows.select("structure_id", "atom_index", "area"))
+
+
+def interface_json(spark, d):
+    """Result documents of interfaces with their residues as arrays."""
+    atoms = pseudo_atoms(spark, d)
+    buried = selections.buried_atoms(atoms, _faces(atoms), POINTS, PROBE)
+    return sinks.interface_rows(selections.interface_areas(atoms, _faces(atoms), n_points=POINTS, probe=PROBE), selections.residue_deltas(buried, atoms))
+
+
+#: Three dictionaries of components made from part that overlap, each with atoms of its own; atoms of a component as in component_radii. The residues of the atoms are part keys of lineitem, those that are multiples of 7 are known.
+_SOURCES = {"beside": (2, 0), "inline": (3, 1), "external": (5, 2)}
+_NEEDED = "SELECT DISTINCT CAST(l_partkey AS VARCHAR(20)) AS residue FROM lineitem WHERE l_partkey % 11 <> 0"
+
+
+def _source_sql(name: str, sql: str, extra: str) -> str:
+    every, shift = _SOURCES[name]
+    sql = sql.replace("p_partkey AS comp_id", f"CAST(p_partkey AS VARCHAR(20)) AS comp_id{extra}").replace("(p_partkey + idx) % 7", f"(p_partkey + idx + {shift}) % 7")
+    return f"{sql} WHERE p_partkey % {every} = 0"
+
+
+def resolved_components(spark, d):
+    """Radii of the atoms of needed components from three dictionaries, the last one counting."""
+    part, lineitem = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
+    made = {n: tuple(spark.sql(_source_sql(n, q, "").replace("FROM part", "FROM {part}"), part=part) for q in (_COMP_ATOMS, _COMP_BONDS)) for n in _SOURCES}
+    atoms = spark.sql(_NEEDED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+    known = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").cast("string").alias("residue"))
+    return components.resolve(atoms, known, **made).select("residue", "atom_name", "radius", "atom_class", "source")
+
+
+def trajectory_mean(spark, d):
+    """Mean area over frames, and their number."""
+    atoms, frames = _frames(spark, d)
+    return trajectory.mean_total(trajectory.frame_totals(trajectory.frame_areas(atoms, frames, n_points=POINTS, probe=PROBE))).select("structure_id", "n_frames", *_r("mean_sasa"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues)
+    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
+              sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, trajectory_mean)
 } | {"altloc_auto": _altloc("auto"), "altloc_highest": _altloc("highest-occupancy"), "altloc_selected": _altloc("selected", "B"), "altloc_all": _altloc("all")}
 
 
@@ -180,18 +302,81 @@ def _in(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _points(points) -> str:
+    return ", ".join(f"({i}, {_d(float(x))}, {_d(float(y))}, {_d(float(z))})" for i, (x, y, z) in enumerate(points))
+
+
+def _pairs(source: str, keys: str = "structure_id", probe: str = "") -> str:
+    """CTEs wide (radius with probe as r) and pairs of a relation of atoms: every ordered pair of neighbours, a the first and b the second."""
+    cols = [k.strip() for k in keys.split(",")]
+    same, ka = " AND ".join(f"a.{k} = b.{k}" for k in cols), ", ".join(f"a.{k}" for k in cols)
+    d2 = " + ".join(f"(a.{k} - b.{k}) * (a.{k} - b.{k})" for k in "xyz")
+    return f"""wide AS (SELECT *, radius + {probe or _d(PROBE)} AS r FROM {source}),
+    pairs AS MATERIALIZED (SELECT {ka}, a.atom_index, a.x, a.y, a.z, a.r, b.x AS bx, b.y AS by_, b.z AS bz, b.r AS br, b.atom_index AS other FROM wide a JOIN wide b ON {same} AND a.atom_index <> b.atom_index AND {d2} < (a.r + b.r) * (a.r + b.r))"""
+
+
 def _sr(source: str, keys: str = "structure_id") -> str:
-    """CTEs pts, nb and areas(keys, atom_index, exposed, area) for a relation of atoms."""
+    """CTEs pts, pairs and areas(keys, atom_index, exposed, area) for a relation of atoms."""
     cols = [k.strip() for k in keys.split(",")]
-    same = " AND ".join(f"a.{k} = b.{k}" for k in cols)
-    ka, values = ", ".join(f"a.{k}" for k in cols), ", ".join(f"({i}, {_d(float(x))}, {_d(float(y))}, {_d(float(z))})" for i, (x, y, z) in enumerate(sphere_points(POINTS)))
-    d2 = lambda a: " + ".join(f"({a(k)} - b.{k}) * ({a(k)} - b.{k})" for k in "xyz")
-    return f"""pts(k, px, py, pz) AS (VALUES {values}),
-    wide AS (SELECT *, radius + {_d(PROBE)} AS r FROM {source}),
-    buried AS (SELECT DISTINCT {ka}, a.atom_index, k FROM wide a JOIN wide b ON {same} AND a.atom_index <> b.atom_index AND {d2(lambda k: 'a.' + k)} < (a.r + b.r) * (a.r + b.r), pts
-               WHERE {d2(lambda k: f'(a.{k} + a.r * p{k})')} < b.r * b.r),
+    ka = ", ".join(f"a.{k}" for k in cols)
+    at = " + ".join(f"(({c} + r * p{c}) - {o}) * (({c} + r * p{c}) - {o})" for c, o in (("x", "bx"), ("y", "by_"), ("z", "bz")))
+    return f"""pts(k, px, py, pz) AS (VALUES {_points(sphere_points(POINTS))}), {_pairs(source, keys)},
+    buried AS (SELECT DISTINCT {keys}, atom_index, k FROM pairs, pts WHERE {at} < br * br),
     areas AS (SELECT {ka}, a.atom_index, {POINTS} - count(b.k) AS exposed, any_value({_d(12.566370614359172)} * a.r * a.r) * ({POINTS} - count(b.k)) / {POINTS} AS area
-              FROM wide a LEFT JOIN buried b ON {same} AND a.atom_index = b.atom_index GROUP BY {ka}, a.atom_index)"""
+              FROM wide a LEFT JOIN buried b ON {" AND ".join(f"a.{k} = b.{k}" for k in cols)} AND a.atom_index = b.atom_index GROUP BY {ka}, a.atom_index)"""
+
+
+def _masked(name: str, points: list, keys: str = "structure_id", variant: str = "0", only: str = "TRUE") -> str:
+    """CTE name(keys, atom_index, r, exposed) from the pairs: without masks, each point held against the middle of the neighbour's direction bin and the cosine of its angle bin. points: of each variant."""
+    cols = [k.strip() for k in keys.split(",")]
+    n, side, top = len(points[0]), masks.SIDE, masks.ANGLES - 1
+    ka, same = ", ".join(f"a.{k}" for k in cols), " AND ".join(f"a.{k} = b.{k}" for k in cols)
+    values = ", ".join(f"({v}, {i}, {_d(float(x))}, {_d(float(y))}, {_d(float(z))})" for v, p in enumerate(points) for i, (x, y, z) in enumerate(p))
+    fold = lambda c, o: f"CASE WHEN dz < 0 THEN (1 - abs({o})) * CASE WHEN {c} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE {c} END"
+    cell = lambda c: f"CAST(floor(least(greatest(({c} + 1) * 0.5::DOUBLE * {side}, 0.0::DOUBLE), {side - 1}.0::DOUBLE)) AS INT)"
+    middle = lambda c: f"({c} + 0.5::DOUBLE) / {side} * 2 - 1"
+    return f"""{name}_p(variant, k, px, py, pz) AS (VALUES {values}),
+    {name}_1 AS (SELECT {keys}, atom_index, r, br, bx - x AS dx, by_ - y AS dy, bz - z AS dz, sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y) + (bz - z) * (bz - z)) AS d, {variant} AS variant FROM pairs WHERE {only}),
+    {name}_2 AS (SELECT *, (r * r + d * d - br * br) / (2 * r * d) AS cosine, abs(dx) + abs(dy) + abs(dz) AS l1 FROM {name}_1 WHERE d >= 1e-10),
+    {name}_3 AS (SELECT *, {fold('u', 'v')} AS fu, {fold('v', 'u')} AS fv FROM (SELECT *, dx / l1 AS u, dy / l1 AS v FROM {name}_2 WHERE cosine < 1) AS q),
+    {name}_4 AS (SELECT {keys}, atom_index, variant, cosine <= -1 AS hidden, {middle(cell('fu'))} AS mu, {middle(cell('fv'))} AS mv, floor(least(greatest((cosine + 1) * 0.5::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) * {top} + 0.5::DOUBLE) / {top} * 2 - 1 AS least_cos FROM {name}_3),
+    {name}_5 AS (SELECT *, 1 - abs(mu) - abs(mv) AS mz FROM {name}_4),
+    {name}_6 AS (SELECT * EXCLUDE (mu, mv), CASE WHEN mz < 0 THEN (1 - abs(mv)) * CASE WHEN mu >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE mu END AS mu, CASE WHEN mz < 0 THEN (1 - abs(mu)) * CASE WHEN mv >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE mv END AS mv FROM {name}_5),
+    {name}_7 AS (SELECT {keys}, atom_index, variant, hidden, least_cos, mu / sqrt(mu * mu + mv * mv + mz * mz) AS ex, mv / sqrt(mu * mu + mv * mv + mz * mz) AS ey, mz / sqrt(mu * mu + mv * mv + mz * mz) AS ez FROM {name}_6),
+    {name}_8 AS (SELECT {keys}, atom_index, count(DISTINCT CASE WHEN hidden OR px * ex + py * ey + pz * ez >= least_cos THEN k END) AS covered FROM {name}_7 JOIN {name}_p USING (variant) GROUP BY {keys}, atom_index),
+    {name} AS (SELECT {ka}, a.atom_index, a.r, {n} - coalesce(covered, 0) AS exposed FROM wide a LEFT JOIN {name}_8 b ON {same} AND a.atom_index = b.atom_index)"""
+
+
+def component_radii_sql(comp_atoms: str, comp_bonds: str) -> str:
+    return f"""WITH atoms AS ({comp_atoms}), bonds AS ({comp_bonds}), ends AS (SELECT comp_id, atom_idx_1 AS idx, atom_idx_2 AS other, bond_order, aromatic FROM bonds UNION ALL SELECT comp_id, atom_idx_2, atom_idx_1, bond_order, aromatic FROM bonds),
+            b AS (SELECT e.comp_id, e.idx, count(*) FILTER (WHERE o.type_symbol <> 'H') AS heavy_bonds, coalesce(sum(CASE bond_order WHEN 'TRIP' THEN 3 WHEN 'DOUB' THEN 2 WHEN 'AROM' THEN 2 ELSE 1 END) FILTER (WHERE o.type_symbol <> 'H'), 0) AS heavy_valence, count(*) FILTER (WHERE o.type_symbol = 'H') AS h_bonds, bool_or(bond_order = 'TRIP') AS triple, bool_or(bond_order IN ('DOUB', 'AROM') OR aromatic) AS flat
+                  FROM ends e JOIN atoms o ON e.comp_id = o.comp_id AND e.other = o.idx GROUP BY e.comp_id, e.idx),
+            r AS (SELECT a.*, coalesce(heavy_bonds, 0) AS heavy_bonds, coalesce(heavy_valence, 0)::BIGINT AS heavy_valence, coalesce(h_bonds, 0) AS h_bonds, CASE WHEN triple THEN 'sp' WHEN flat THEN 'sp2' WHEN heavy_bonds + h_bonds > 0 THEN 'sp3' ELSE 'unknown' END AS hybridization, CASE type_symbol WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 WHEN 'S' THEN 2 END AS usual FROM atoms a LEFT JOIN b ON a.comp_id = b.comp_id AND a.idx = b.idx),
+            i AS (SELECT *, coalesce(greatest(usual - heavy_valence - h_bonds, 0) + 0 * usual, 0) AS implicit_h FROM r)
+            SELECT comp_id, idx, atom_id, heavy_bonds, heavy_valence, h_bonds, hybridization, implicit_h, CAST(CASE type_symbol WHEN 'C' THEN CASE hybridization WHEN 'sp2' THEN CASE implicit_h WHEN 0 THEN 1.61 ELSE 1.76 END WHEN 'sp3' THEN CASE implicit_h WHEN 0 THEN 1.61 ELSE 1.88 END WHEN 'sp' THEN 1.61 ELSE 1.88 END WHEN 'N' THEN 1.64 WHEN 'O' THEN CASE hybridization WHEN 'sp3' THEN 1.46 ELSE 1.42 END WHEN 'S' THEN 1.77 END AS DOUBLE) AS radius,
+                CASE WHEN type_symbol IN ('N', 'O', 'S') THEN 'polar' WHEN type_symbol = 'C' THEN 'apolar' ELSE 'unknown' END AS atom_class FROM i"""
+
+
+def _resolved_sql(radii) -> str:
+    """Every dictionary's components under a name that holds the source, then the last source of each atom."""
+    both = [" UNION ALL ".join(_source_sql(n, q, "").replace("CAST(p_partkey AS VARCHAR(20)) AS comp_id", f"'{n}|' || CAST(p_partkey AS VARCHAR(20)) AS comp_id") for n in _SOURCES) for q in (_COMP_ATOMS, _COMP_BONDS)]
+    order = " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_SOURCES))
+    return f"""SELECT residue, atom_name, arg_max(radius, prio) AS radius, arg_max(atom_class, prio) AS atom_class, arg_max(source, prio) AS source
+        FROM (SELECT split_part(comp_id, '|', 2) AS residue, atom_id AS atom_name, radius, atom_class, split_part(comp_id, '|', 1) AS source, CASE split_part(comp_id, '|', 1) {order} END AS prio FROM ({radii(*both)}) AS q WHERE radius IS NOT NULL) AS t
+        WHERE residue IN ({_NEEDED}) AND CAST(residue AS BIGINT) % 7 <> 0 GROUP BY residue, atom_name"""
+
+
+def _job_sql() -> str:
+    at = " + ".join(f"(({c} + r * p{c}) - {o}) * (({c} + r * p{c}) - {o})" for c, o in (("x", "bx"), ("y", "by_"), ("z", "bz")))
+    values = ", ".join(f"({n}, {i}, {_d(float(x))}, {_d(float(y))}, {_d(float(z))})" for n in (40, 60) for i, (x, y, z) in enumerate(sphere_points(n)))
+    return f"""WITH atoms AS ({ATOMS_SQL}), jobs AS (SELECT *, CASE WHEN probe = 0 THEN 'probe out of range' END AS bad, list_sort(list_distinct(string_split(chain_text, ','))) AS chains FROM ({_JOBS}) AS q),
+        w AS (SELECT resolution, probe, chains, count(*) AS n, resolution || '|' || probe || '|' || coalesce(array_to_string(chains, ','), '*') AS c FROM jobs WHERE bad IS NULL GROUP BY resolution, probe, chains),
+        picked AS (SELECT a.*, w.c, w.probe, w.resolution FROM atoms a JOIN w ON w.chains IS NULL OR list_contains(w.chains, a.chain)), {_pairs('picked', 'structure_id, c', 'probe')},
+        pts(resolution, k, px, py, pz) AS (VALUES {values}), near AS (SELECT p.*, w.resolution FROM pairs p JOIN w USING (c)),
+        buried AS (SELECT structure_id, c, atom_index, count(DISTINCT k) AS n FROM near JOIN pts USING (resolution) WHERE {at} < br * br GROUP BY structure_id, c, atom_index),
+        t AS (SELECT a.structure_id, a.c, count(*) AS n_atoms, sum({_d(12.566370614359172)} * a.r * a.r * (a.resolution - coalesce(b.n, 0)) / a.resolution) AS area FROM wide a LEFT JOIN buried b ON a.structure_id = b.structure_id AND a.c = b.c AND a.atom_index = b.atom_index GROUP BY a.structure_id, a.c)
+        SELECT s.structure_id, j.job_id, CASE WHEN coalesce(j.bad, CASE WHEN t.n_atoms IS NULL THEN 'no atoms' END) IS NULL THEN 'ok' ELSE 'err' END AS status, coalesce(j.bad, CASE WHEN t.n_atoms IS NULL THEN 'no atoms' END) AS error, t.n_atoms, coalesce(w.n, 0) AS n_sharing, round(t.area, 3) AS total_area
+        FROM (SELECT DISTINCT structure_id FROM atoms) AS s JOIN jobs j ON TRUE LEFT JOIN w ON j.bad IS NULL AND w.resolution = j.resolution AND w.probe = j.probe AND w.chains IS NOT DISTINCT FROM j.chains LEFT JOIN t ON t.structure_id = s.structure_id AND t.c = w.c"""
 
 
 def oracle() -> dict[str, str]:
@@ -219,26 +404,33 @@ def oracle() -> dict[str, str]:
     faces = f"{atoms}, picked AS (SELECT a.*, s.s FROM atoms a JOIN (VALUES ('A', 'a'), ('R', 'b'), ('A', 'ab'), ('R', 'ab')) AS s(chain, s) USING (chain)), {_sr('picked', 'structure_id, s')}, tot AS (SELECT structure_id, sum(CASE WHEN s = 'a' THEN area ELSE 0 END) AS a, sum(CASE WHEN s = 'b' THEN area ELSE 0 END) AS b, sum(CASE WHEN s = 'ab' THEN area ELSE 0 END) AS ab FROM areas GROUP BY structure_id), there AS (SELECT structure_id, bool_or(chain = 'A') AS has_a, bool_or(chain = 'R') AS has_b FROM atoms GROUP BY structure_id)"
     face = lambda e, n, k: f"CASE WHEN has_a AND has_b THEN round({e}, {k}) END AS {n}"
     two_pi = _d(6.283185307179586)
+    ball, f = f"{_d(12.566370614359172)} * r * r", f"(exposed::DOUBLE / {POINTS})"
+    corrected = f"least(1.0::DOUBLE, {f} + {_d(masks.CORRECTION)} * {f} * (1 - {f}))"
+    moved = f"{atoms}, moved AS (SELECT a.* EXCLUDE (x), a.x + frame * (atom_index % 5) * {_d(0.0625)} AS x, frame FROM atoms a JOIN (VALUES (1), (3)) AS f(frame) ON TRUE)"
+    runs = f"""{sr}, marked AS (SELECT *, CASE WHEN atom_index > 0 AND (chain, residue_num, residue, ins_code) = (lag(chain) OVER o, lag(residue_num) OVER o, lag(residue) OVER o, lag(ins_code) OVER o) THEN 0 ELSE 1 END AS new FROM rows_ WINDOW o AS (PARTITION BY structure_id ORDER BY atom_index)),
+            numbered AS (SELECT *, sum(new) OVER (PARTITION BY structure_id ORDER BY atom_index) - 1 AS run FROM marked)"""
+    faulty = f"""{atoms}, odd AS (SELECT structure_id, min(CASE WHEN structure_id % 17 = 3 AND atom_index = 5 THEN atom_index END) AS nan, min(CASE WHEN structure_id % 13 = 2 AND atom_index % 100 = 7 THEN atom_index END) AS low FROM atoms GROUP BY structure_id),
+            picked AS (SELECT * FROM atoms WHERE chain IN ('A', 'N') AND structure_id % 19 <> 4 AND structure_id NOT IN (SELECT structure_id FROM odd WHERE nan IS NOT NULL OR low IS NOT NULL)), {_sr('picked')},
+            b AS (SELECT structure_id, CASE WHEN nan IS NOT NULL AND (low IS NULL OR nan < low) THEN 'coordinate is not finite at atom ' || nan WHEN low IS NOT NULL THEN 'radius out of range at atom ' || low WHEN n IS NULL THEN 'no atoms' END AS error, n, t
+                  FROM odd LEFT JOIN (SELECT structure_id, count(*) AS n, sum(area) AS t FROM areas GROUP BY structure_id) AS q USING (structure_id))"""
+    sided = f"{faces}, sided AS (SELECT structure_id, atom_index, max(CASE WHEN s = 'ab' THEN NULL ELSE s END) AS partner, max(CASE WHEN s <> 'ab' THEN exposed END) AS isolated, max(CASE WHEN s = 'ab' THEN exposed END) AS complex, max(CASE WHEN s <> 'ab' THEN area END) AS ia, max(CASE WHEN s = 'ab' THEN area END) AS ca FROM areas GROUP BY structure_id, atom_index)"
     return {
         "neighbor_degree": f"{atoms}, w AS (SELECT *, radius + {_d(PROBE)} AS r FROM atoms) {degree}",
         "sr_atoms": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_atoms_by_cell": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_total": f"{sr} SELECT structure_id, count(*) AS n_atoms, round(sum(area), 3) AS total_area FROM areas GROUP BY structure_id",
-        "lr_total": f"""{atoms}, w AS (SELECT *, radius + {_d(PROBE)} AS r FROM atoms),
-            s AS (SELECT structure_id, atom_index, x, y, z, r, k, z - r + 2 * r / 8 * (k + {_d(0.5)}) AS h FROM w JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS v(k) ON TRUE),
-            c AS (SELECT *, sqrt(greatest(0, r * r - (h - z) * (h - z))) AS own FROM s),
-            n AS (SELECT c.structure_id, c.atom_index, c.k, own, sqrt(b.r * b.r - (h - b.z) * (h - b.z)) AS other, sqrt((b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y)) AS d, atan2(b.y - c.y, b.x - c.x) + pi() AS mid
-                  FROM c JOIN w b ON c.structure_id = b.structure_id AND c.atom_index <> b.atom_index AND b.r * b.r - (h - b.z) * (h - b.z) > 0
-                  AND (c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y) + (c.z - b.z) * (c.z - b.z) < (c.r + b.r) * (c.r + b.r)),
+        "lr_total": f"""{atoms}, {_pairs("atoms")},
+            c AS (SELECT structure_id, atom_index, k, r, z, z - r + 2 * r / {SLICES} * (k + {_d(0.5)}) AS h, bz, br, sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)) AS d, atan2(by_ - y, bx - x) + pi() AS mid FROM pairs, range({SLICES}) AS v(k)),
+            n AS (SELECT structure_id, atom_index, k, sqrt(greatest(0, r * r - (h - z) * (h - z))) AS own, sqrt(br * br - (h - bz) * (h - bz)) AS other, d, mid FROM c WHERE br * br - (h - bz) * (h - bz) > 0),
             m AS (SELECT *, CASE WHEN d < 1e-10 THEN other > own ELSE d + own <= other END AS inside FROM n WHERE d < own + other),
             arcs AS (SELECT structure_id, atom_index, k, mid - a AS lo, mid + a AS hi FROM (SELECT *, acos(greatest(-1, least(1, (own * own + d * d - other * other) / (2 * own * d)))) AS a FROM m WHERE NOT inside AND d >= 1e-10 AND d + other > own) AS q),
             fixed AS (SELECT structure_id, atom_index, k, CASE WHEN lo < 0 THEN lo + {two_pi} ELSE lo END AS lo, CASE WHEN hi > {two_pi} THEN hi - {two_pi} ELSE hi END AS hi FROM arcs),
             cut AS (SELECT structure_id, atom_index, k, lo, CASE WHEN lo > hi THEN {two_pi} ELSE hi END AS hi FROM fixed UNION ALL SELECT structure_id, atom_index, k, 0, hi FROM fixed WHERE lo > hi),
             swept AS (SELECT structure_id, atom_index, k, lo, hi, max(hi) OVER (PARTITION BY structure_id, atom_index, k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
             free AS (SELECT structure_id, atom_index, k, sum(greatest(0, lo - coalesce(before, 0))) + {two_pi} - max(hi) AS arc FROM swept GROUP BY structure_id, atom_index, k),
-            shut AS (SELECT DISTINCT structure_id, atom_index, k FROM m WHERE inside)
-            SELECT c.structure_id, count(DISTINCT c.atom_index) AS n_atoms, round(sum(CASE WHEN shut.k IS NOT NULL THEN 0 ELSE 2 * r / 8 * r * coalesce(arc, {two_pi}) END), 2) AS total_area
-            FROM c LEFT JOIN free USING (structure_id, atom_index, k) LEFT JOIN shut USING (structure_id, atom_index, k) GROUP BY c.structure_id""",
+            shut AS (SELECT DISTINCT structure_id, atom_index, k, {_d(0.0)} AS arc FROM m WHERE inside),
+            lost AS (SELECT structure_id, atom_index, sum({two_pi} - arc) AS arc FROM (SELECT * FROM shut UNION ALL SELECT * FROM free ANTI JOIN shut USING (structure_id, atom_index, k)) AS q GROUP BY structure_id, atom_index)
+            SELECT w.structure_id, count(*) AS n_atoms, round(sum(4 * pi() * r * r - 2 * r / {SLICES} * r * coalesce(arc, 0)), 2) AS total_area FROM wide w LEFT JOIN lost USING (structure_id, atom_index) GROUP BY w.structure_id""",
         "residue_areas": f"{sr} SELECT * EXCLUDE (area), round(area, 3) AS area FROM ({residues}) AS q",
         "residue_classes": f"{csr} SELECT structure_id, chain, residue_num, arg_min(residue, atom_index) AS residue, count(*) AS n_atoms, {rnd('area')}, round(sum(CASE WHEN atom_class = 'polar' THEN area ELSE 0 END), 3) AS polar_area, round(sum(CASE WHEN atom_class = 'apolar' THEN area ELSE 0 END), 3) AS apolar_area FROM rows_ GROUP BY structure_id, chain, residue_num",
         "residue_runs": f"""{sr}, marked AS (SELECT *, CASE WHEN atom_index > 0 AND (chain, residue_num, residue, ins_code) = (lag(chain) OVER o, lag(residue_num) OVER o, lag(residue) OVER o, lag(ins_code) OVER o) THEN 0 ELSE 1 END AS new FROM rows_ WINDOW o AS (PARTITION BY structure_id ORDER BY atom_index)),
@@ -256,13 +448,7 @@ def oracle() -> dict[str, str]:
         "classified_atoms": f"{atoms}, {classes} SELECT structure_id, atom_index, radius, atom_class, matched FROM cls",
         "match_counts": f"{atoms}, {classes} SELECT structure_id, matched, count(*) AS n_atoms FROM cls GROUP BY structure_id, matched",
         "element_guess": f"{atoms} SELECT DISTINCT atom_name, element, symbol, {guess} AS radius FROM {named} AS q",
-        "component_radii": f"""WITH atoms AS ({_COMP_ATOMS}), bonds AS ({_COMP_BONDS}), ends AS (SELECT comp_id, atom_idx_1 AS idx, atom_idx_2 AS other, bond_order, aromatic FROM bonds UNION ALL SELECT comp_id, atom_idx_2, atom_idx_1, bond_order, aromatic FROM bonds),
-            b AS (SELECT e.comp_id, e.idx, count(*) FILTER (WHERE o.type_symbol <> 'H') AS heavy_bonds, coalesce(sum(CASE bond_order WHEN 'TRIP' THEN 3 WHEN 'DOUB' THEN 2 WHEN 'AROM' THEN 2 ELSE 1 END) FILTER (WHERE o.type_symbol <> 'H'), 0) AS heavy_valence, count(*) FILTER (WHERE o.type_symbol = 'H') AS h_bonds, bool_or(bond_order = 'TRIP') AS triple, bool_or(bond_order IN ('DOUB', 'AROM') OR aromatic) AS flat
-                  FROM ends e JOIN atoms o ON e.comp_id = o.comp_id AND e.other = o.idx GROUP BY e.comp_id, e.idx),
-            r AS (SELECT a.*, coalesce(heavy_bonds, 0) AS heavy_bonds, coalesce(heavy_valence, 0)::BIGINT AS heavy_valence, coalesce(h_bonds, 0) AS h_bonds, CASE WHEN triple THEN 'sp' WHEN flat THEN 'sp2' WHEN heavy_bonds + h_bonds > 0 THEN 'sp3' ELSE 'unknown' END AS hybridization, CASE type_symbol WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 WHEN 'S' THEN 2 END AS usual FROM atoms a LEFT JOIN b ON a.comp_id = b.comp_id AND a.idx = b.idx),
-            i AS (SELECT *, coalesce(greatest(usual - heavy_valence - h_bonds, 0) + 0 * usual, 0) AS implicit_h FROM r)
-            SELECT comp_id, idx, atom_id, heavy_bonds, heavy_valence, h_bonds, hybridization, implicit_h, CAST(CASE type_symbol WHEN 'C' THEN CASE hybridization WHEN 'sp2' THEN CASE implicit_h WHEN 0 THEN 1.61 ELSE 1.76 END WHEN 'sp3' THEN CASE implicit_h WHEN 0 THEN 1.61 ELSE 1.88 END WHEN 'sp' THEN 1.61 ELSE 1.88 END WHEN 'N' THEN 1.64 WHEN 'O' THEN CASE hybridization WHEN 'sp3' THEN 1.46 ELSE 1.42 END WHEN 'S' THEN 1.77 END AS DOUBLE) AS radius,
-                CASE WHEN type_symbol IN ('N', 'O', 'S') THEN 'polar' WHEN type_symbol = 'C' THEN 'apolar' ELSE 'unknown' END AS atom_class FROM i""",
+        "component_radii": component_radii_sql(_COMP_ATOMS, _COMP_BONDS),
         "chain_selections": f"""{sets}, e AS (SELECT DISTINCT structure_id FROM atoms), have AS (SELECT DISTINCT structure_id, chain FROM atoms)
             SELECT e.structure_id, q.id, CASE WHEN h.n = q.need THEN t.n END AS n_atoms, CASE WHEN h.n = q.need THEN 'ok' ELSE 'err' END AS status, CASE WHEN h.n = q.need THEN NULL ELSE 'selected chain not found: ' || h.lacks END AS error, CASE WHEN h.n = q.need THEN round(t.area, 3) END AS total_area
             FROM e JOIN (VALUES ('an', 'an', 2), ('na', 'an', 2), ('r', 'r', 1), ('z', 'z', 1)) AS q(id, s, need) ON TRUE
@@ -271,6 +457,34 @@ def oracle() -> dict[str, str]:
         "buried_surface": f"{faces} SELECT t.structure_id, 'a-r' AS id, CASE WHEN NOT has_a THEN 'partner A chain not found' WHEN NOT has_b THEN 'partner B chain not found' END AS error, {face('a', 'sasa_partner_a', 3)}, {face('b', 'sasa_partner_b', 3)}, {face('ab', 'sasa_complex', 3)}, {face('a + b - ab', 'delta_sasa_total', 3)}, {face('(a + b - ab) / 2', 'bsa', 2)} FROM there t LEFT JOIN tot USING (structure_id)",
         "trajectory_totals": f"{frames} SELECT structure_id, frame, round(sum(area), 3) AS total_sasa FROM areas GROUP BY structure_id, frame",
         "trajectory_residues": f"{frames}, ids AS (SELECT structure_id, chain, residue_num, row_number() OVER (PARTITION BY structure_id ORDER BY chain, residue_num) - 1 AS residue_index FROM (SELECT DISTINCT structure_id, chain, residue_num FROM atoms) AS q) SELECT structure_id, frame, residue_index, {rnd('area')} FROM areas JOIN atoms USING (structure_id, atom_index) JOIN ids USING (structure_id, chain, residue_num) GROUP BY structure_id, frame, residue_index",
+        "trajectory_mean": f"{frames} SELECT structure_id, count(*) AS n_frames, round(avg(s), 3) AS mean_sasa FROM (SELECT structure_id, frame, sum(area) AS s FROM areas GROUP BY structure_id, frame) AS q GROUP BY structure_id",
+        "sr_routed": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
+        "sr_bitmask": f"{atoms}, {_pairs('atoms')}, {_masked('m', [sphere_points(POINTS)])} SELECT structure_id, atom_index, exposed, round({ball} * exposed / {POINTS}, 3) AS area, round({ball} * {corrected}, 3) AS corrected FROM m",
+        "sr_bitmask_corrected": f"{atoms}, {_pairs('atoms')}, {_masked('m', [sphere_points(POINTS)])} SELECT structure_id, count(*) AS n_atoms, round(sum({ball} * {corrected}), 3) AS total_area FROM m GROUP BY structure_id",
+        "sr_adaptive": f"""{atoms}, {_pairs('atoms')}, {_masked('m', [sphere_points(COARSE)])}, open_ AS (SELECT structure_id, atom_index FROM m WHERE exposed > {LOW} * {COARSE} AND exposed < {HIGH} * {COARSE}),
+            {_masked('f', [sphere_points(FINE)], only="(structure_id, atom_index) IN (SELECT (structure_id, atom_index) FROM open_)")}
+            SELECT structure_id, atom_index, {COARSE} AS points, exposed, round({ball} * exposed / {COARSE}, 3) AS area FROM m ANTI JOIN open_ USING (structure_id, atom_index)
+            UNION ALL SELECT structure_id, atom_index, {FINE}, exposed, round({ball} * exposed / {FINE}, 3) FROM f SEMI JOIN open_ USING (structure_id, atom_index)""",
+        "frame_variants": f"""{moved}, {_pairs('moved', 'structure_id, frame')}, {_masked('m', [sphere_points(POINTS)], 'structure_id, frame')}, {_masked('t', [masks.rotated_points(POINTS, v) for v in range(masks.VARIANTS)], 'structure_id, frame', f'frame % {masks.VARIANTS}')},
+            s AS (SELECT structure_id, frame, round(sum({ball} * exposed / {POINTS}), 3) AS total_sasa FROM m GROUP BY structure_id, frame)
+            SELECT 'single' AS mode, * FROM s UNION ALL SELECT 'per-frame', * FROM s UNION ALL SELECT 'cycle', structure_id, frame, round(sum({ball} * exposed / {POINTS}), 3) FROM t GROUP BY structure_id, frame""",
+        "job_areas": _job_sql(),
+        "batch_status": f"{faulty} SELECT structure_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'err' END AS status, error, n AS n_atoms, round(t, 3) AS total_area FROM b",
+        "batch_summary": f"{faulty} SELECT count(*) AS n_files, count(*) FILTER (WHERE error IS NULL) AS n_ok, count(*) FILTER (WHERE error IS NOT NULL) AS n_failed, coalesce(sum(n), 0)::BIGINT AS n_atoms FROM b",
+        "interface_atoms": f"{sided} SELECT structure_id, 'a-r' AS id, atom_index, partner, isolated, complex, round(ia, 3) AS isolated_area, round(ca, 3) AS complex_area, round(ia - ca, 3) AS delta FROM sided",
+        "interface_residues": f"{sided} SELECT structure_id, 'a-r' AS id, partner, chain, residue_num, ins_code, arg_min(residue, atom_index) AS residue, count(*) AS n_atoms, round(sum(ia), 3) AS isolated_area, round(sum(ca), 3) AS complex_area, round(sum(ia - ca), 3) AS delta FROM sided JOIN atoms USING (structure_id, atom_index) GROUP BY structure_id, partner, chain, residue_num, ins_code",
+        "residue_map_json": f"""{runs}, r AS (SELECT structure_id, run, chain, residue_num, residue, ins_code, min(atom_index) AS s, count(*) AS c, round(sum(area), 3) AS a FROM numbered GROUP BY structure_id, run, chain, residue_num, residue, ins_code),
+            l AS (SELECT structure_id, list(chain ORDER BY run) AS ch, list(residue ORDER BY run) AS na, list(residue_num ORDER BY run) AS nu, list(ins_code ORDER BY run) AS ic, list(s ORDER BY run) AS st, list(c ORDER BY run) AS ct, list(a ORDER BY run) AS ar FROM r GROUP BY structure_id),
+            t AS (SELECT structure_id, round(sum(area), 3) AS total, list(round(area, 3) ORDER BY atom_index) AS areas FROM rows_ GROUP BY structure_id)
+            SELECT structure_id, CAST(to_json({{'status': 'ok', 'filename': structure_id::VARCHAR, 'total_area': total, 'atom_areas': areas, 'residue_chain': ch, 'residue_name': na, 'residue_number': nu, 'residue_insertion_code': ic, 'residue_atom_start': st, 'residue_atom_count': ct, 'residue_sasa': ar}}) AS VARCHAR) AS value FROM t JOIN l USING (structure_id)""",
+        "interface_json": f"""{sided}, r AS (SELECT structure_id, partner, chain, residue_num, ins_code, arg_min(residue, atom_index) AS residue, min(atom_index) AS f, round(sum(ia), 3) AS i, round(sum(ca), 3) AS c, round(sum(ia - ca), 3) AS d FROM sided JOIN atoms USING (structure_id, atom_index) GROUP BY structure_id, partner, chain, residue_num, ins_code),
+            l AS (SELECT structure_id, list(partner ORDER BY f) AS pa, list(chain ORDER BY f) AS ch, list(residue ORDER BY f) AS na, list(residue_num ORDER BY f) AS nu, list(ins_code ORDER BY f) AS ic, list(i ORDER BY f) AS li, list(c ORDER BY f) AS lc, list(d ORDER BY f) AS ld FROM r GROUP BY structure_id),
+            t AS (SELECT structure_id, sum(CASE WHEN partner = 'a' THEN ia ELSE 0 END) AS a, sum(CASE WHEN partner = 'b' THEN ia ELSE 0 END) AS b, sum(ca) AS ab FROM sided GROUP BY structure_id)
+            SELECT structure_id, 'a-r' AS id, CASE WHEN has_a AND has_b THEN CAST(to_json({{'status': 'ok', 'filename': structure_id::VARCHAR, 'id': 'a-r', 'analysis': 'bsa', 'sasa_partner_a': round(a, 3), 'sasa_partner_b': round(b, 3), 'sasa_complex': round(ab, 3), 'delta_sasa_total': round(a + b - ab, 3), 'bsa': round((a + b - ab) / 2, 3),
+                'residue_partner': pa, 'residue_chain': ch, 'residue_name': na, 'residue_number': nu, 'residue_insertion_code': ic, 'residue_sasa_isolated': li, 'residue_sasa_complex': lc, 'residue_delta_sasa': ld}}) AS VARCHAR)
+                ELSE CAST(to_json({{'status': 'err', 'filename': structure_id::VARCHAR, 'id': 'a-r', 'analysis': 'bsa', 'error': CASE WHEN has_a THEN 'partner B chain not found' ELSE 'partner A chain not found' END}}) AS VARCHAR) END AS value
+            FROM there LEFT JOIN t USING (structure_id) LEFT JOIN l USING (structure_id)""",
+        "resolved_components": _resolved_sql(component_radii_sql),
         "altloc_auto": f"""{atoms}, f AS (SELECT *, min(CASE WHEN alt_loc IN (' ', 'A') THEN atom_index END) OVER s AS first, max(CASE WHEN alt_loc <> ' ' THEN occupancy END) OVER s AS top FROM atoms WINDOW s AS (PARTITION BY {site})),
             g AS (SELECT *, max(CASE WHEN atom_index = first THEN alt_loc END) OVER (PARTITION BY {site}) AS mark, min(CASE WHEN alt_loc <> ' ' AND occupancy = top THEN atom_index END) OVER (PARTITION BY {site}) AS best FROM f)
             SELECT structure_id, atom_index, alt_loc FROM g WHERE alt_loc = ' ' OR (first IS NULL AND atom_index = best) OR (mark = 'A' AND alt_loc = 'A')""",

@@ -30,11 +30,12 @@ def check_parameter(name: str, value: float) -> None:
         raise InputError(f"{name} must lie in {low} to {high}, not {value}")
 
 
-def problem(strict: bool = True) -> Column:
-    """Why a row can't be an atom, null if it can. strict: radii above 0 and up to MAX_RADIUS, else 0 or more."""
+def problem(strict: bool = True, fault: str | None = None) -> Column:
+    """Why a row can't be an atom, null if it can. strict: radii above 0 and up to MAX_RADIUS, else 0 or more. fault: a column in which a reader says what is wrong with the row."""
     odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     radius = (F.col("radius") <= 0) | (F.col("radius") > MAX_RADIUS) if strict else F.col("radius") < 0
-    return F.when(odd("x") | odd("y") | odd("z"), "coordinate is not finite").when(odd("radius"), "radius is not finite").when(radius, "radius out of range")
+    read = F.when(F.col(fault).isNotNull(), F.col(fault)) if fault else F.when(F.lit(False), "")
+    return read.when(odd("x") | odd("y") | odd("z"), "coordinate is not finite").when(odd("radius"), "radius is not finite").when(radius, "radius out of range")
 
 
 def validate(atoms: DataFrame, strict: bool = True) -> DataFrame:

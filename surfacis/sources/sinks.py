@@ -63,3 +63,36 @@ def write_per_structure(rows: DataFrame, path: str) -> None:
     """Lines (structure_id, value and perhaps place) as text files, in a folder for each structure; structures share tasks by hash, and each one's lines are in order."""
     order = ["structure_id", *(["place"] if "place" in rows.columns else [])]
     rows.repartition("structure_id").sortWithinPartitions(*order).select("structure_id", "value").write.partitionBy("structure_id").text(path)
+
+
+def _columns_of(rows: Column, names: dict[str, str]) -> list[Column]:
+    """An array of structs as one array for each field: names of the arrays and the fields."""
+    return [rows.getField(field).alias(name) for name, field in names.items()]
+
+
+def residue_map_rows(runs: DataFrame, areas: DataFrame, decimals: int = 3) -> DataFrame:
+    """value, a JSON line for each structure: total_area, atom_areas in order of atoms, and the runs of its residues (of analysis.runs) as arrays of equal length, in order of runs."""
+    shown = lambda c: rounded(c, decimals)
+    atoms = F.array_sort(F.collect_list(F.struct("atom_index", shown(F.col("area")).alias("area"))))
+    per = areas.groupBy("structure_id").agg(shown(F.sum("area")).alias("total_area"), F.transform(atoms, lambda s: s["area"]).alias("atom_areas"))
+    run = F.struct("run", "chain", "residue", "residue_num", "ins_code", "atom_start", "atom_count", shown(F.col("area")).alias("area"))
+    listed = runs.groupBy("structure_id").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    names = {"residue_chain": "chain", "residue_name": "residue", "residue_number": "residue_num", "residue_insertion_code": "ins_code", "residue_atom_start": "atom_start", "residue_atom_count": "atom_count", "residue_sasa": "area"}
+    doc = F.struct(F.lit("ok").alias("status"), F.col("structure_id").cast("string").alias("filename"), "total_area", "atom_areas", *_columns_of(F.col("runs"), names))
+    return per.join(listed, "structure_id").select("structure_id", F.to_json(doc).alias("value"))
+
+
+def interface_rows(faces: DataFrame, residues: DataFrame, decimals: int = 3) -> DataFrame:
+    """value, a JSON line for each interface: areas, delta and bsa with its residues (of selections.residue_deltas) as arrays in order of their first atoms, or status err and the error."""
+    shown = lambda c: rounded(F.col(c), decimals)
+    one = F.struct("first_atom", "partner", "chain", "residue", "residue_num", "ins_code", *[shown(c).alias(c) for c in ("isolated_area", "complex_area", "delta")])
+    listed = residues.groupBy("structure_id", "id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    names = {
+        "residue_partner": "partner", "residue_chain": "chain", "residue_name": "residue", "residue_number": "residue_num", "residue_insertion_code": "ins_code", "residue_sasa_isolated": "isolated_area",
+        "residue_sasa_complex": "complex_area", "residue_delta_sasa": "delta",
+    }
+    sums = ("sasa_partner_a", "sasa_partner_b", "sasa_complex", "delta_sasa_total", "bsa")
+    start = [F.col("structure_id").cast("string").alias("filename"), "id", F.lit("bsa").alias("analysis")]
+    good = F.to_json(F.struct(F.lit("ok").alias("status"), *start, *[shown(c).alias(c) for c in sums], *_columns_of(F.col("rows"), names)))
+    bad = F.to_json(F.struct(F.lit("err").alias("status"), *start, "error"))
+    return faces.join(listed, ["structure_id", "id"], "left").select("structure_id", "id", F.when(F.col("error").isNull(), good).otherwise(bad).alias("value"))
