@@ -15,7 +15,7 @@ from .neighbors import HALF_STENCIL, keyed_pairs, widened
 
 #: Rows of atoms and points that a kernel compares at a time.
 BLOCK = 1 << 21
-#: Atoms up to which a structure is worked on by one task when the plan may choose; larger ones are spread by cells.
+#: Atoms up to which by="auto" gives a structure to one task; larger ones are spread by cells.
 LARGE = 20_000
 
 
@@ -136,14 +136,14 @@ def _routed(atoms: DataFrame, key: list[str], large: int, small_plan, large_plan
     return small_plan(atoms.join(big, key, "left_anti")).unionByName(large_plan(atoms.join(big, key, "left_semi")))
 
 
-def shrake_rupley(atoms: DataFrame, n_points: int = N_POINTS, probe: float | str = PROBE, precision: str = "f64", by: str = "auto", key: list[str] | None = None, large: int = LARGE) -> DataFrame:
+def shrake_rupley(atoms: DataFrame, n_points: int = N_POINTS, probe: float | str = PROBE, precision: str = "f64", by: str | None = None, key: list[str] | None = None, large: int = LARGE) -> DataFrame:
     """key, atom_index, exposed (points that nothing buries) and area of every atom.
 
-    by "structure": one shuffle on the structure, then a vectorised kernel over each; right for structures that
-    fit into a task, so for proteins and frames. by "cell": neighbours by the grid join, then points against each atom's neighbour array
-    in a column expression; right for a structure of any size. "auto": structures of more than large atoms by cell, the others by
-    structure. All give the same counts; "cell" reckons in double precision, so a single-precision run takes "structure" throughout. A probe of each row's own is
-    the name of a column of key. Null keys are structures of their own by "structure" and have no neighbours by "cell". An empty table gives an empty one.
+    by "cell" (the plain way in double precision): neighbours by the grid join, each against every point in column expressions, what they bury united by
+    partial aggregation; right for a structure of any size. by "structure" (the plain way in single precision): one shuffle on the structure, then a vectorised kernel over
+    each, which has to fit into a task. "auto": structures of more than large atoms by cell, the others by structure, for clusters where the kernel is the faster one. All give
+    the same counts, but "cell" has double precision only. A probe of each row's own is the name of a column of key. Null keys are structures of their own by
+    "structure" and have no neighbours by "cell". An empty table gives an empty one.
     """
     key, points, real, single = _checked(atoms, n_points, probe, precision, key)
     whole = lambda rows: _grouped(rows, lambda xyz, r: exposed_points(xyz, r, points.astype(real)), {"exposed": "long"}, probe, precision, key)
@@ -152,7 +152,7 @@ def shrake_rupley(atoms: DataFrame, n_points: int = N_POINTS, probe: float | str
     return out.select(*key, "atom_index", "exposed", (sphere_area(widened(probe)) * F.col("exposed") / n_points).alias("area"))
 
 
-def sided_points(atoms: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, by: str = "auto", key: list[str] | None = None, large: int = LARGE) -> DataFrame:
+def sided_points(atoms: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, by: str | None = None, key: list[str] | None = None, large: int = LARGE) -> DataFrame:
     """key, atom_index, radius, isolated and exposed: points that no atom of an atom's own side (an integer column) buries, and points that no atom buries.
 
     Every pair of neighbours is made once and every point tested once against it, with one bit for the pair's sides. by and large as in shrake_rupley().
@@ -176,7 +176,8 @@ def _checked(atoms: DataFrame, n_points: int, probe: float | str, precision: str
     return key, sphere_points(n_points), np.float32 if single else np.float64, single
 
 
-def _by(by: str, single: bool, atoms: DataFrame, key: list[str], large: int, whole, spread) -> DataFrame:
+def _by(by: str | None, single: bool, atoms: DataFrame, key: list[str], large: int, whole, spread) -> DataFrame:
+    by = by or ("structure" if single else "cell")
     if by not in ("structure", "cell", "auto"):
         raise InputError(f"by {by}: structure, cell or auto")
     if by == "cell" and single:
@@ -185,24 +186,19 @@ def _by(by: str, single: bool, atoms: DataFrame, key: list[str], large: int, who
 
 
 def _by_cell(atoms: DataFrame, points: np.ndarray, probe: float | str, key: list[str], side: bool = False) -> DataFrame:
+    """Every neighbour meets every point as a row of its own; points that it holds are set in words of 64 bits, united before they are shuffled."""
     pairs = keyed_pairs(atoms, probe, key, carry=("side",) if side else ())
-    same = (F.col("i_side") == F.col("j_side")) if side else F.lit(True)
-    near = pairs.groupBy(*key, F.col("i").alias("atom_index")).agg(F.collect_list(F.struct("j_x", "j_y", "j_z", (F.col("j_r") * F.col("j_r")).alias("j_r2"), same.alias("same"))).alias("near"))
-    rows = atoms.select(*dict.fromkeys([*key, "atom_index", "x", "y", "z", "radius"])).join(near, [*key, "atom_index"], "left")
-    literal = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("xyz", p)]) for p in points])
-    r = widened(probe)
-
-    def held(p, n):
-        at = {k: F.col(k) + r * p[k] for k in "xyz"}
-        return sum(((at[k] - n[f"j_{k}"]) * (at[k] - n[f"j_{k}"]) for k in "yz"), (at["x"] - n["j_x"]) * (at["x"] - n["j_x"])) < n["j_r2"]
-
-    rows = rows.withColumn("near", F.coalesce("near", F.array().cast(dict(rows.dtypes)["near"])))
-    if not side:
-        return rows.select(*key, "atom_index", "radius", F.lit(None).cast("long").alias("isolated"), F.size(F.filter(literal, lambda p: ~F.exists("near", lambda n: held(p, n)))).cast("long").alias("exposed"))
-    rows = rows.withColumns({"own": F.filter("near", lambda n: n["same"]), "others": F.filter("near", lambda n: ~n["same"])})
-    rows = rows.withColumn("free", F.filter(literal, lambda p: ~F.exists("own", lambda n: held(p, n))))
-    left = F.filter("free", lambda p: ~F.exists("others", lambda n: held(p, n)))
-    return rows.select(*key, "atom_index", "radius", F.size("free").cast("long").alias("isolated"), F.size(left).cast("long").alias("exposed"))
+    each = F.expr("array(" + ", ".join(f"named_struct('px', {p[0]!r}D, 'py', {p[1]!r}D, 'pz', {p[2]!r}D, 'word', {k // 64}, 'place', {k % 64})" for k, p in enumerate(points.tolist())) + ")")
+    same = [(F.col("i_side") == F.col("j_side")).alias("same")] if side else []
+    rows = pairs.select(*key, F.col("i").alias("atom_index"), *[f"{s}_{c}" for s in "ij" for c in "xyz"], "i_r", (F.col("j_r") * F.col("j_r")).alias("j_r2"), *same, F.inline(each))
+    off = {c: F.col(f"i_{c}") + F.col("i_r") * F.col(f"p{c}") - F.col(f"j_{c}") for c in "xyz"}
+    rows = rows.where(off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"] < F.col("j_r2")).withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place")))
+    words = range((len(points) + 63) // 64)
+    held = lambda w, more: F.bit_or(F.when((F.col("word") == w) & more, F.col("bit")).otherwise(F.lit(0).cast("long")))
+    found = rows.groupBy(*key, "atom_index").agg(*[held(w, F.lit(True)).alias(f"held{w}") for w in words], *([held(w, F.col("same")).alias(f"own{w}") for w in words] if side else []))
+    free = lambda name: (len(points) - F.coalesce(sum((F.bit_count(f"{name}{w}") for w in words), F.lit(0)), F.lit(0))).cast("long")
+    rows = atoms.select(*dict.fromkeys([*key, "atom_index", "radius"])).join(found, [*key, "atom_index"], "left")
+    return rows.select(*dict.fromkeys([*key, "atom_index", "radius"]), (free("own") if side else F.lit(None).cast("long")).alias("isolated"), free("held").alias("exposed"))
 
 
 def lee_richards(atoms: DataFrame, n_slices: int = N_SLICES, probe: float | str = PROBE, precision: str = "f64", key: list[str] | None = None, by: str = "cell") -> DataFrame:

@@ -42,6 +42,11 @@ def sr_atoms(spark, d):
     return _areas(pseudo_atoms(spark, d)).select("structure_id", "atom_index", "exposed", *_r("area"))
 
 
+def sr_atoms_by_structure(spark, d):
+    """Areas of atoms by a kernel over each whole structure."""
+    return _areas(pseudo_atoms(spark, d), by="structure").select("structure_id", "atom_index", "exposed", *_r("area"))
+
+
 def sr_atoms_by_cell(spark, d):
     return _areas(pseudo_atoms(spark, d), by="cell").select("structure_id", "atom_index", "exposed", *_r("area"))
 
@@ -171,7 +176,7 @@ def trajectory_residues(spark, d):
 
 def sr_routed(spark, d):
     """Areas of atoms by the plan that each structure's size asks for."""
-    return _areas(pseudo_atoms(spark, d), large=ROUTED).select("structure_id", "atom_index", "exposed", *_r("area"))
+    return _areas(pseudo_atoms(spark, d), by="auto", large=ROUTED).select("structure_id", "atom_index", "exposed", *_r("area"))
 
 
 def sr_bitmask(spark, d):
@@ -284,7 +289,7 @@ def trajectory_mean(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
+    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_atoms_by_structure, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
               sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, trajectory_mean)
 } | {"altloc_auto": _altloc("auto"), "altloc_highest": _altloc("highest-occupancy"), "altloc_selected": _altloc("selected", "B"), "altloc_all": _altloc("all")}
 
@@ -418,6 +423,7 @@ def oracle() -> dict[str, str]:
         "neighbor_degree": f"{atoms}, w AS (SELECT *, radius + {_d(PROBE)} AS r FROM atoms) {degree}",
         "sr_atoms": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_atoms_by_cell": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
+        "sr_atoms_by_structure": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_total": f"{sr} SELECT structure_id, count(*) AS n_atoms, round(sum(area), 3) AS total_area FROM areas GROUP BY structure_id",
         "lr_total": f"""{atoms}, {_pairs("atoms")},
             c AS (SELECT structure_id, atom_index, k, r, z, z - r + 2 * r / {SLICES} * (k + {_d(0.5)}) AS h, bz, br, sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)) AS d, atan2(by_ - y, bx - x) + pi() AS mid FROM pairs, range({SLICES}) AS v(k)),
