@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_names, stage
 
 #: Keys to a filter shard, and lines that one probe task takes at a time.
 SHARD_KEYS, PROBE_LINES = 32768, 16384
@@ -110,22 +110,29 @@ def _shard(n: int) -> Column:
     return F.pmod(F.col("d1").bitwiseXOR(F.shiftright("d1", 32)), F.lit(n)).cast("int")
 
 
+def _documents(keys: DataFrame) -> DataFrame:
+    """id, h and n, how often the document is in keys: each of its copies has one row for each of its keys."""
+    return keys.groupBy("id", "h", "d1", "d2").agg(F.count("*").alias("n")).groupBy("id", "h").agg(F.max("n").alias("n"))
+
+
 @dataclass
 class LineIndex:
-    """refs (d1, d2, n_docs): the exact number of documents with each key. filters (shard, filter): cuckoo filters of the keys with min_docs or more."""
+    """refs (d1, d2, n_docs): the exact number of documents with each key. filters (shard, filter): cuckoo filters of the keys with min_docs or more. documents (id, h, n): what is in the index."""
 
     refs: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int
+    documents: DataFrame
 
     @classmethod
     def build(cls, keys: DataFrame, min_docs: int) -> LineIndex:
+        """The index of documents given by their line_keys(). Repeated documents count each time."""
         refs = stage(keys.groupBy("d1", "d2").agg(F.count("*").alias("n_docs")), "line-refs")
-        return cls._of(refs, min_docs)
+        return cls._of(refs, min_docs, _documents(keys))
 
     @classmethod
-    def _of(cls, refs: DataFrame, min_docs: int) -> LineIndex:
+    def _of(cls, refs: DataFrame, min_docs: int, documents: DataFrame) -> LineIndex:
         hot = refs.where(F.col("n_docs") >= min_docs)
         shards = max(1, math.ceil(hot.count() / SHARD_KEYS))
 
@@ -133,13 +140,19 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "filter": [filter_of(pdf["d1"].to_numpy(), pdf["d2"].to_numpy()).to_bytes()]})
 
         filters = hot.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(made, "shard int, filter binary")
-        return cls(refs, stage(filters, "line-filters"), shards, min_docs)
+        return cls(refs, stage(filters, "line-filters"), shards, min_docs, documents)
 
     def _changed(self, keys: DataFrame, sign: int) -> LineIndex:
-        """Counts move by the documents' keys; only keys that cross the threshold touch their shard's filter."""
-        moved = keys.groupBy("d1", "d2").agg((F.count("*") * sign).alias("by"))
+        """Counts move by the documents' keys; only keys that cross the threshold touch their shard's filter. No document is taken out more often than it is in."""
+        held, copies = self.documents.select(F.col("id").alias("was_id"), F.col("h").alias("was_h"), "n"), keys.groupBy("id", "h", "d1", "d2").agg(F.count("*").alias("copies"))
+        if sign < 0:
+            copies = copies.join(held, F.col("id").eqNullSafe(F.col("was_id")) & F.col("h").eqNullSafe(F.col("was_h"))).select("id", "h", "d1", "d2", F.least("copies", "n").alias("copies"))
+        copies = stage(copies, "line-copies")
+        change = copies.groupBy("id", "h").agg((F.max("copies") * sign).alias("n"))
+        documents = stage(self.documents.select("id", "h", "n").unionByName(change).groupBy("id", "h").agg(F.sum("n").alias("n")).where("n > 0"), "line-documents")
+        moved = copies.groupBy("d1", "d2").agg((F.sum("copies") * sign).alias("by"))
         old = self.refs.select("d1", "d2", F.col("n_docs").alias("was"), F.lit(0).cast("long").alias("by"))
-        both = old.unionByName(moved.select("d1", "d2", F.lit(0).cast("long").alias("was"), "by")).groupBy("d1", "d2").agg(F.sum("was").alias("was"), F.greatest(F.sum("was") + F.sum("by"), F.lit(0)).alias("n_docs"))
+        both = old.unionByName(moved.select("d1", "d2", F.lit(0).cast("long").alias("was"), "by")).groupBy("d1", "d2").agg(F.sum("was").alias("was"), (F.sum("was") + F.sum("by")).alias("n_docs"))
         both = stage(both, "line-moves")
         crossed = both.where((F.col("was") >= self.min_docs) != (F.col("n_docs") >= self.min_docs)).select(_shard(self.shards).alias("shard"), "d1", "d2", (F.col("n_docs") >= self.min_docs).alias("up"))
 
@@ -153,24 +166,27 @@ class LineIndex:
         filters = stage(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(apply, "shard int, filter binary, fits boolean"), "line-filters")
         refs = both.where("n_docs > 0").select("d1", "d2", "n_docs")
         if not filters.where("NOT fits").isEmpty():  # a full shard: all are laid out anew from the exact table
-            return self._of(refs, self.min_docs)
-        return LineIndex(refs, filters.drop("fits"), self.shards, self.min_docs)
+            return self._of(refs, self.min_docs, documents)
+        return LineIndex(refs, filters.drop("fits"), self.shards, self.min_docs, documents)
 
     def insert(self, keys: DataFrame) -> LineIndex:
+        """The index with these documents as well; one that is in it already counts once more."""
         return self._changed(keys, 1)
 
     def delete(self, keys: DataFrame) -> LineIndex:
+        """The index without these documents, as if they had never been in it; one that isn't in it, or not so often, is passed over."""
         return self._changed(keys, -1)
 
-    def hits(self, keys: DataFrame, rows: int) -> DataFrame:
+    def hits(self, keys: DataFrame, rows: int | None = None) -> DataFrame:
         """Rows of keys whose key min_docs documents or more have: those that the filters let through, then held against the exact table.
 
         A shard's lines are dealt to cells of about PROBE_LINES lines by document, each with a copy of the
-        shard's filter, so a line in a third of all documents is spread over cells as any other.
+        shard's filter. Lines are counted for each shard here (rows, their number in all, is no longer needed), so that a shard with a line of a third of all documents has as many more cells.
         """
-        salts = max(1, math.ceil(rows / (self.shards * PROBE_LINES)))
-        lines = keys.withColumn("shard", _shard(self.shards)).withColumn("salt", F.pmod(F.xxhash64("id", "h"), F.lit(salts)).cast("int"))
-        copies = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        lines = keys.withColumn("shard", _shard(self.shards))
+        cells = stage(lines.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_LINES).cast("int").alias("cells")), "line-cells")
+        copies = self.filters.join(cells, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        lines = lines.join(cells, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "h"), F.col("cells")).cast("int"))
 
         def probe(key, f: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
             if not len(f) or not len(pdf):
@@ -178,19 +194,19 @@ class LineIndex:
             return pdf[CuckooFilter.of_bytes(f["filter"].iloc[0]).contains(pdf["d1"].to_numpy(), pdf["d2"].to_numpy())][names]
 
         names = keys.columns
-        passed = copies.groupBy("shard", "salt").cogroup(lines.groupBy("shard", "salt")).applyInPandas(probe, keys.schema)
+        passed = copies.select("shard", "salt", "filter").groupBy("shard", "salt").cogroup(lines.groupBy("shard", "salt")).applyInPandas(probe, keys.schema)
         return passed.join(self.refs.where(F.col("n_docs") >= self.min_docs).select("d1", "d2"), ["d1", "d2"])
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col without the line numbers in dropped (id, h, at), and n_lines and n_dropped of each row."""
-    gone = dropped.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("__at")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__at")
-    rows = docs.withColumn("__hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    rows = rows.withColumn("__lines", lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__at"))
-    text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("__lines")[i]), "\n"))
-    return rows.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce(F.size("__at"), F.lit(0)).cast("long"), text_col: text}).drop("__hash", "__id", "__h", "__at", "__lines")
+    of_text, of_id, of_hash, at, lines = free_names(docs, "text_hash", "gone_id", "gone_hash", "gone_at", "text_lines")
+    gone = dropped.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(at)).select(F.col("id").alias(of_id), F.col("h").alias(of_hash), at)
+    rows = docs.withColumn(of_text, F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(of_text) == F.col(of_hash)), "left")
+    rows = rows.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    text = F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col(lines)[i]), "\n"))
+    return rows.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(at), F.lit(0)).cast("long"), text_col: text}).drop(of_text, of_id, of_hash, at, lines)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,6 +218,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     counts once for each document. An empty table gives an empty table.
     """
     keys = stage(line_keys(docs, id_col, text_col), "line-keys")
-    rows = keys.count()
     index = LineIndex.build(keys, min_docs)
-    return drop_lines(docs.drop("n_lines", "n_dropped"), index.hits(keys, rows), id_col, text_col)
+    return drop_lines(docs.drop("n_lines", "n_dropped"), index.hits(keys), id_col, text_col)
