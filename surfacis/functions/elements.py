@@ -36,6 +36,10 @@ NUMBER = {s.upper(): i + 1 for i, s in enumerate(SYMBOLS)} | {"D": 1}
 RADIUS_BY_SYMBOL = {SYMBOLS[n - 1].upper(): r for n, r in RADIUS_BY_NUMBER.items()}
 
 
+# First letters that stand for an element where a symbol is unknown. D is hydrogen by its whole symbol only.
+FIRST_LETTERS = ["H", "B", "C", "N", "O", "F", "P", "S", "K", "V", "Y", "I", "W", "U"]
+
+
 def lookup(table: dict, key: Column) -> Column:
     """Value of a small fixed table, null where it has none."""
     literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
@@ -43,14 +47,15 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def atomic_number(symbol: Column) -> Column:
-    """Atomic number of a symbol in any case; of its first letter if the whole is unknown; else 0."""
+    """Atomic number of a symbol in any case; of its first letter if the whole is unknown and the letter is an element's; else 0, as for dummy atoms (DU)."""
     s = F.upper(F.trim(symbol))
-    return F.coalesce(lookup(NUMBER, s), lookup(NUMBER, F.substring(s, 1, 1)), F.lit(0))
+    return F.coalesce(lookup(NUMBER, s), lookup({c: NUMBER[c] for c in FIRST_LETTERS}, F.substring(s, 1, 1)), F.lit(0))
 
 
-def vdw_radius(number: Column) -> Column:
-    """Radius that file readers give an element: 1.00 where none is known."""
-    return F.coalesce(F.get(F.array(*[F.lit(r) for r in READER_RADII]), number - 1), F.lit(1.0))
+def vdw_radius(number: Column, symbol: Column | None = None) -> Column:
+    """Radius that file readers give an element: 1.00 where none is known, and for D, which is hydrogen to filters but has no radius of its own."""
+    known = F.coalesce(F.get(F.array(*[F.lit(r) for r in READER_RADII]), number - 1), F.lit(1.0))
+    return known if symbol is None else F.when(F.upper(F.trim(symbol)) == "D", 1.0).otherwise(known)
 
 
 def element_of_name(name: Column) -> Column:

@@ -32,11 +32,3 @@ def distance2(a: str, b: str) -> Column:
     """Squared distance between the points a_x, a_y, a_z and b_x, b_y, b_z."""
     d = [F.col(f"{a}_{k}") - F.col(f"{b}_{k}") for k in "xyz"]
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-
-
-def round_half_away(x: Column, decimals: int) -> Column:
-    """Round half away from zero to 0 to 15 decimals, and -0 to 0."""
-    if not 0 <= decimals <= 15:
-        raise ValueError("0 to 15 decimals")
-    y = F.round(x, decimals)
-    return F.when(y == 0, F.lit(0.0)).otherwise(y)

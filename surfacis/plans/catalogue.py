@@ -281,6 +281,18 @@ def resolved_components(spark, d):
     return components.resolve(atoms, known, **made).select("residue", "atom_name", "radius", "atom_class", "source")
 
 
+def frame_results(spark, d):
+    """Totals of whole frames, error rows for frames that lack atoms."""
+    atoms, frames = _frames(spark, d)
+    frames = frames.where(~((F.col("structure_id") % 5 == 2) & (F.col("frame") == 3) & (F.col("atom_index") % 50 == 3)))
+    return trajectory.frame_results(atoms, frames, n_points=POINTS, probe=PROBE).select("structure_id", "frame", "n_atoms", "status", "error", *_r("total_sasa"))
+
+
+def first_problems(spark, d):
+    """The first ten rows of a faulty table that can't be atoms."""
+    return schema.first_problems(_faulty(spark, d)).select("structure_id", "atom_index", "problem")
+
+
 def trajectory_mean(spark, d):
     """Mean area over frames, and their number."""
     atoms, frames = _frames(spark, d)
@@ -290,7 +302,7 @@ def trajectory_mean(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_atoms_by_structure, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
-              sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, trajectory_mean)
+              sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, frame_results, first_problems, trajectory_mean)
 } | {"altloc_auto": _altloc("auto"), "altloc_highest": _altloc("highest-occupancy"), "altloc_selected": _altloc("selected", "B"), "altloc_all": _altloc("all")}
 
 
@@ -463,6 +475,11 @@ def oracle() -> dict[str, str]:
         "buried_surface": f"{faces} SELECT t.structure_id, 'a-r' AS id, CASE WHEN NOT has_a THEN 'partner A chain not found' WHEN NOT has_b THEN 'partner B chain not found' END AS error, {face('a', 'sasa_partner_a', 3)}, {face('b', 'sasa_partner_b', 3)}, {face('ab', 'sasa_complex', 3)}, {face('a + b - ab', 'delta_sasa_total', 3)}, {face('(a + b - ab) / 2', 'bsa', 2)} FROM there t LEFT JOIN tot USING (structure_id)",
         "trajectory_totals": f"{frames} SELECT structure_id, frame, round(sum(area), 3) AS total_sasa FROM areas GROUP BY structure_id, frame",
         "trajectory_residues": f"{frames}, ids AS (SELECT structure_id, chain, residue_num, row_number() OVER (PARTITION BY structure_id ORDER BY chain, residue_num) - 1 AS residue_index FROM (SELECT DISTINCT structure_id, chain, residue_num FROM atoms) AS q) SELECT structure_id, frame, residue_index, {rnd('area')} FROM areas JOIN atoms USING (structure_id, atom_index) JOIN ids USING (structure_id, chain, residue_num) GROUP BY structure_id, frame, residue_index",
+        "first_problems": f"{atoms} SELECT structure_id, atom_index, CASE WHEN structure_id % 17 = 3 AND atom_index = 5 THEN 'coordinate is not finite' ELSE 'radius out of range' END AS problem FROM atoms WHERE structure_id % 17 = 3 AND atom_index = 5 OR structure_id % 13 = 2 AND atom_index % 100 = 7 ORDER BY structure_id, atom_index LIMIT 10",
+        "frame_results": f"""{frames}, size AS (SELECT structure_id, count(*) AS n, count(*) FILTER (WHERE atom_index % 50 = 3) AS gone FROM atoms GROUP BY structure_id)
+            SELECT structure_id, frame, any_value(n - CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN gone ELSE 0 END) AS n_atoms, CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN 'err' ELSE 'ok' END AS status,
+                CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN any_value((n - gone) || ' of ' || n || ' atoms') END AS error, CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN NULL ELSE round(sum(area), 3) END AS total_sasa
+            FROM areas JOIN size USING (structure_id) GROUP BY structure_id, frame""",
         "trajectory_mean": f"{frames} SELECT structure_id, count(*) AS n_frames, round(avg(s), 3) AS mean_sasa FROM (SELECT structure_id, frame, sum(area) AS s FROM areas GROUP BY structure_id, frame) AS q GROUP BY structure_id",
         "sr_routed": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_bitmask": f"{atoms}, {_pairs('atoms')}, {_masked('m', [sphere_points(POINTS)])} SELECT structure_id, atom_index, exposed, round({ball} * exposed / {POINTS}, 3) AS area, round({ball} * {corrected}, 3) AS corrected FROM m",

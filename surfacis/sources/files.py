@@ -69,6 +69,11 @@ def contents(spark: SparkSession, paths: str | list[str], fmt: str | None = None
     return files.mapInArrow(run, "path string, content binary").withColumn("structure_id", structure_id(F.col("path")))
 
 
+def _number(text: Column) -> Column:
+    """A decimal number without exponent as a double, else null: no NaN, no infinity."""
+    return F.when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), text.try_cast("double"))
+
+
 def _part(line: Column, start: int, size: int) -> Column:
     return F.trim(F.substring(line, start, size))
 
@@ -90,12 +95,12 @@ def read_pdb(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     symbol = F.when(_part(r, 77, 2) != "", _part(r, 77, 2)).otherwise(guess)
     rows = rows.select(
         "structure_id", "atom_index", F.col("a.m").alias("model_num"), _part(r, 1, 6).alias("record"),
-        *[F.when(F.length(r) >= 54, _part(r, at, 8).try_cast("double")).alias(c) for c, at in (("x", 31), ("y", 39), ("z", 47))],
-        atomic_number(symbol).alias("element"), F.trim(name).alias("atom_name"), _part(r, 18, 3).alias("residue"), _part(r, 22, 1).alias("chain"), _part(r, 22, 1).alias("auth_chain"),
+        *[F.when(F.length(r) >= 54, _number(_part(r, at, 8))).alias(c) for c, at in (("x", 31), ("y", 39), ("z", 47))],
+        symbol.alias("symbol"), atomic_number(symbol).alias("element"), F.trim(name).alias("atom_name"), _part(r, 18, 3).alias("residue"), _part(r, 22, 1).alias("chain"), _part(r, 22, 1).alias("auth_chain"),
         F.coalesce(_part(r, 23, 4).try_cast("int"), F.lit(0)).alias("residue_num"), _part(r, 27, 1).alias("ins_code"), F.rpad(F.substring(r, 17, 1), 1, " ").alias("alt_loc"),
         F.coalesce(_part(r, 55, 6).try_cast("double"), F.lit(0.0)).alias("occupancy"),
     )
-    return rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("radius", vdw_radius(F.col("element")))
+    return rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("radius", vdw_radius(F.col("element"), F.col("symbol"))).drop("symbol")
 
 
 _TOKEN = re.compile(r"""^;([\s\S]*?)^;|'((?:[^'\n]|'(?=\S))*)'(?=\s|\Z)|"((?:[^"\n]|"(?=\S))*)"(?=\s|\Z)|\#[^\n]*|(\S+)""", re.MULTILINE)
@@ -163,25 +168,32 @@ _SITE = (
 ).split()
 
 
-def read_mmcif(spark: SparkSession, paths: str | list[str], auth_chain: bool = False) -> DataFrame:
-    """Atoms of mmCIF files. label columns come first, auth ones where a file lacks the label column (auth_chain: the other way round for chains); an uncertainty in brackets is cut off. A coordinate that isn't a number fails the query."""
+def read_mmcif(spark: SparkSession, paths: str | list[str], auth_chain: bool = False, strict: bool = True) -> DataFrame:
+    """Atoms of mmCIF files. label columns come first, auth ones where a file lacks the label column (auth_chain: the other way round for chains); an uncertainty in brackets is cut off.
+
+    A coordinate that isn't a finite number fails the query if strict, else it is null and the column fault says so, for batches to make an error row of.
+    """
     rows = _cif_frame(spark, contents(spark, paths, "mmcif"), "_atom_site", _SITE)
     pick = lambda a, b: F.when(F.array_contains("has_", a), F.col(a)).otherwise(F.col(b))
-    number = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\([0-9]*\)$", "").try_cast("double")
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\([0-9]*\)$", "")
+    number = lambda c: F.when(bare(c).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), bare(c).try_cast("double"))
     chain = ("auth_asym_id", "label_asym_id") if auth_chain else ("label_asym_id", "auth_asym_id")
-    strict = lambda c: F.when(number(c).isNull(), F.raise_error(F.lit(f"{c} is not a number")).cast("double")).otherwise(number(c))
+    place = lambda c: F.when(number(c).isNull(), F.raise_error(F.lit(f"{c} is not a number")).cast("double")).otherwise(number(c)) if strict else number(c)
+    odd = F.lit(None).cast("string")
+    for c in "zyx":
+        odd = F.when(number(f"Cartn_{c}").isNull(), f"Cartn_{c} is not a number").otherwise(odd)
     rows = rows.select(
         "structure_id", F.col("row").alias("atom_index"), F.col("pdbx_PDB_model_num").try_cast("int").alias("model_num"), F.coalesce("group_PDB", F.lit("ATOM")).alias("record"),
-        *[strict(f"Cartn_{c}").alias(c) for c in "xyz"], atomic_number(F.coalesce("type_symbol", F.lit("X"))).alias("element"),
+        *[place(f"Cartn_{c}").alias(c) for c in "xyz"], "type_symbol", atomic_number(F.coalesce("type_symbol", F.lit("X"))).alias("element"), *([] if strict else [odd.alias("fault")]),
         F.coalesce(pick("label_atom_id", "auth_atom_id"), F.lit("X")).alias("atom_name"), F.coalesce(pick("label_comp_id", "auth_comp_id"), F.lit("UNK")).alias("residue"),
         F.coalesce(pick(*chain), F.lit("")).alias("chain"), F.coalesce("auth_asym_id", F.lit("")).alias("auth_chain"), F.coalesce(pick("label_seq_id", "auth_seq_id").try_cast("int"), F.lit(0)).alias("residue_num"),
         F.coalesce("pdbx_PDB_ins_code", F.lit("")).alias("ins_code"), F.coalesce(F.substring("label_alt_id", 1, 1), F.lit(" ")).alias("alt_loc"), F.coalesce(F.col("occupancy").try_cast("double"), F.lit(0.0)).alias("occupancy"),
     )
-    return rows.withColumn("radius", vdw_radius(F.col("element")))
+    return rows.withColumn("radius", vdw_radius(F.col("element"), F.coalesce("type_symbol", F.lit("X")))).drop("type_symbol")
 
 
-def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Atoms of JSON files of arrays x, y, z, r and, if given, residue, atom_name, element. Arrays of unequal length fail the query."""
+def read_json(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+    """Atoms of JSON files of arrays x, y, z, r and, if given, residue, atom_name, element. Arrays of unequal length fail the query if strict, else the file is one row without a place, whose column fault says so."""
     kind = "x array<double>, y array<double>, z array<double>, r array<double>, residue array<string>, atom_name array<string>, element array<int>"
     rows = contents(spark, paths, "json").select("structure_id", F.from_json(F.col("content").cast("string"), kind).alias("j")).select("structure_id", "j.*")
     n = F.coalesce(F.size("x"), F.lit(-1))
@@ -190,20 +202,32 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         uneven = uneven | F.coalesce(F.size(c) != n, F.lit(True))
     for c in ("residue", "atom_name", "element"):
         uneven = uneven | F.coalesce((F.size(c) != n) & F.col(c).isNotNull(), F.lit(False))
-    rows = rows.withColumn("x", F.when(uneven, F.raise_error(F.concat(F.lit("arrays of unequal length in "), F.col("structure_id"))).cast("array<double>")).otherwise(F.col("x")))
+    if not strict:
+        rows = rows.withColumn("fault", F.when(uneven, "arrays of unequal length"))
+        one = lambda c, kind: F.when(F.col("fault").isNotNull(), F.array(F.lit(None).cast(kind))).otherwise(F.col(c))
+        rows = rows.withColumns({c: one(c, k) for c, k in (("x", "double"), ("y", "double"), ("z", "double"), ("r", "double"), ("residue", "string"), ("atom_name", "string"), ("element", "int"))})
+    else:
+        rows = rows.withColumn("x", F.when(uneven, F.raise_error(F.concat(F.lit("arrays of unequal length in "), F.col("structure_id"))).cast("array<double>")).otherwise(F.col("x")))
     for c, k in (("residue", "string"), ("atom_name", "string"), ("element", "int")):
         rows = rows.withColumn(c, F.coalesce(c, F.transform("x", lambda _: F.lit(None).cast(k))))
-    rows = rows.select("structure_id", F.posexplode(F.arrays_zip("x", "y", "z", "r", "residue", "atom_name", "element")).alias("atom_index", "a"))
+    extra = [] if strict else ["fault"]
+    rows = rows.select("structure_id", *extra, F.posexplode(F.arrays_zip("x", "y", "z", "r", "residue", "atom_name", "element")).alias("atom_index", "a"))
     null = lambda kind: F.lit(None).cast(kind)
     return rows.select(
         "structure_id", "atom_index", null("int").alias("model_num"), F.lit("ATOM").alias("record"), "a.x", "a.y", "a.z", "a.element", "a.atom_name", "a.residue", F.lit("").alias("chain"), F.lit("").alias("auth_chain"),
-        F.lit(0).alias("residue_num"), F.lit("").alias("ins_code"), F.lit(" ").alias("alt_loc"), F.lit(0.0).alias("occupancy"), F.col("a.r").alias("radius"),
+        F.lit(0).alias("residue_num"), F.lit("").alias("ins_code"), F.lit(" ").alias("alt_loc"), F.lit(0.0).alias("occupancy"), F.col("a.r").alias("radius"), *extra,
     )
 
 
-def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of the PDB, mmCIF and JSON files of a folder; structures of one name in two formats would meet, so names have to be unique."""
-    return read_pdb(spark, path).unionByName(read_mmcif(spark, path)).unionByName(read_json(spark, path))
+def read_structures(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Atoms of the PDB, mmCIF and JSON files of a folder; structures of one name in two formats would meet, so names have to be unique. Unless strict, faulty files have a fault in place of an error."""
+    return read_pdb(spark, path).unionByName(read_mmcif(spark, path, strict=strict), allowMissingColumns=True).unionByName(read_json(spark, path, strict=strict), allowMissingColumns=True)
+
+
+def structure_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and structure_id of the supported files of a folder in bytewise order of paths, for a batch to name what it should hold; nothing is read but the listing."""
+    files = spark.read.format("binaryFile").load(path).select("path").where(is_supported(F.col("path")))
+    return files.withColumn("structure_id", structure_id(F.col("path"))).orderBy("path")
 
 
 def read_components(spark: SparkSession, paths: str | list[str], ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -259,10 +283,16 @@ def matched_files(entries: DataFrame, structures: DataFrame) -> tuple[DataFrame,
     return entries.join(there, "filename", "left_semi"), both.select("filename", error.alias("error")).where("error IS NOT NULL")
 
 
+def is_plain_name(name: Column) -> Column:
+    """A file name that leads nowhere else: not empty, without slashes, not . or .."""
+    return (name != "") & ~name.rlike(r"[/\\]|^[.][.]?$")
+
+
 def checked_map(rows: DataFrame) -> DataFrame:
-    """rows, or an error: an id is needed where a file repeats, ids are unique, a file has one asym_id_type, label or auth, chains are not empty."""
+    """rows, or an error: file names are plain, an id is needed where a file repeats, ids are unique, a file has one asym_id_type, label or auth, chains are not empty."""
     per = rows.groupBy("filename").agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.count_distinct("asym_id_type").alias("types"), F.max((F.size("chains") == 0) | F.exists("chains", lambda c: c == "")).alias("blank"), F.max(~F.col("asym_id_type").isin("label", "auth")).alias("kind"))
-    bad = per.where("(n > 1 AND ids < n) OR types > 1 OR kind OR blank OR blank IS NULL").limit(1).collect()
+    per = per.withColumn("plain", is_plain_name(F.coalesce("filename", F.lit(""))))
+    bad = per.where("(n > 1 AND ids < n) OR types > 1 OR kind OR blank OR blank IS NULL OR NOT plain").limit(1).collect()
     twice = rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).collect()
     if bad or twice:
         raise InputError(f"chain map: check {bad[0].filename if bad else twice[0].id}")
