@@ -235,11 +235,11 @@ class TokenStore:
             raise ValueError("the recipes aren't what the manifest says")
         recipes = self.read("recipes")
         docs = running_sum(recipes.select("row", "id", "n_tokens", "__pid"), [F.col("id").asc_nulls_first(), F.col("row")], "n_tokens", "start")
-        after = F.transform(F.sequence(F.lit(1), F.size("lens")), lambda i: F.aggregate(F.slice("lens", i + 1, F.size("lens")), F.lit(0).cast("long"), lambda a, x: a + x))
+        after = F.pandas_udf(ids_after, "array<long>")("lens")
         total = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
         sound = F.pandas_udf(has_root, "boolean")("keys", "root") & (F.size("keys") == F.size("lens")) & (F.col("n_tokens") == total)
-        parts = F.when(sound, F.arrays_zip("keys", "lens", after.alias("after"))).otherwise(F.raise_error(F.lit("a recipe isn't what its root and length say")))
-        pieces = recipes.select("row", F.explode(parts).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"), F.col("p.after").alias("after"))
+        parts = F.when(sound, F.arrays_zip("keys", "lens", "after")).otherwise(F.raise_error(F.lit("a recipe isn't what its root and length say")))
+        pieces = recipes.withColumn("after", after).select("row", F.explode(parts).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.lens").alias("len"), F.col("p.after").alias("after"))
         placed = pieces.join(self.verified_chunks(), "key", "left").withColumn("term", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a recipe names a chunk that isn't there"))).when(F.col("n") != F.col("len"), F.raise_error(F.lit("a recipe gives a chunk another length"))).otherwise(F.pandas_udf(shifted_crc, "long")("crc", F.col("after") * 4)))
         sums = placed.groupBy("row").agg(F.bit_xor("term").alias("ids_crc32"))
         return docs.join(sums, "row").select("id", "start", "n_tokens", "ids_crc32")
@@ -284,6 +284,12 @@ def has_root(keys: pd.Series, roots: pd.Series) -> pd.Series:
     return pd.Series([merkle([bytes(x) for x in k]) == bytes(r) for k, r in zip(keys, roots)], dtype=bool)
 
 
+def ids_after(lens: pd.Series) -> pd.Series:
+    """For each chunk of a document, the ids of the chunks behind it."""
+    sums = [np.cumsum(np.asarray(x, np.int64)) for x in lens]
+    return pd.Series([(x[-1] - x if len(x) else x) for x in sums], dtype=object)
+
+
 def _mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product of polynomials over two elements modulo the (reflected) polynomial of crc32."""
     out, b = np.zeros_like(a), b.copy()

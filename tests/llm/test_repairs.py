@@ -5,13 +5,16 @@ import itertools
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from surfacis.llm import common, html_text, line_dedup, periodic, queries, repair
+from surfacis.llm import chat, common, embed_dedup, html_text, line_dedup, periodic, quality, queries, repair, token_store
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -249,10 +252,43 @@ def test_a_line_in_a_third_of_all_rows_is_spread(spark, monkeypatch):
     assert max(r["count"] for r in plain(sizes[0], "shard", "salt").count().collect()) < 4 * 64
 
 
-def test_clashing_names_and_folders(spark, monkeypatch):
+def test_clashing_names_and_folders(spark):
     df = spark.createDataFrame([(i, "same\nown", 1, 2, 3, 4) for i in range(3)], "doc_id long, text string, gone_at int, Text_Lines int, text_hash int, __h int")
     out = line_dedup.dedup_lines(df, 2)
     assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == df.columns and {r.text for r in out.collect()} == {""}
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_dir(spark)
+        common.shared_dir(cluster)
+
+
+def test_chunk_places_of_a_long_document():
+    lens = np.random.default_rng(3).integers(128, 2048, 40_000).astype(np.int32)
+    got = token_store.ids_after(pd.Series([lens, lens[:1], lens[:0]]))
+    assert (got[0] == int(lens.sum()) - np.cumsum(lens.astype(np.int64))).all() and got[0][-1] == 0 and got[1].tolist() == [0] and len(got[2]) == 0
+
+
+def test_quality_scores_are_the_rules(spark):
+    """Scores held against a plain evaluation of the fitted rules, and against a floor on held-out labels."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = [(i, " ".join(word() + ("$$$" if i % 3 == 0 else "") for _ in range(40)), int(i % 3 != 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i % 2], "doc_id long, quality int")
+    model = quality.learned(docs, labels)
+    assert model.rules
+    scored = quality.statistics(docs, "text").withColumn("score", model.score()).collect()
+    compare = {"<=": lambda a, b: a <= b, ">": lambda a, b: a > b}
+    for r in scored:
+        total = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all(compare[op](r["__f"][name], at) for name, op, at in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    held = {i: g for i, _, g in rows if i % 2 == 0}
+    got = {r.doc_id: r.predicted for r in quality.classify(docs, model).collect()}
+    assert sum(got[i] == g for i, g in held.items()) >= 0.95 * len(held)
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    assert chat.format_chat(none).collect() == []
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), 1, str(tmp_path / "store")).documents().collect() == []
