@@ -9,20 +9,33 @@ from ..functions.geometry import N_POINTS, PROBE, sphere_area
 from .surface import shrake_rupley, sided_points
 
 
+def _selections(atoms: DataFrame, entries: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:
+    """entries with their set, status and error, and the area of every atom of each set of a structure, computed once."""
+    entries = entries.select("structure_id", "id", "chains", F.array_join(F.array_sort(F.array_distinct("chains")), ",").alias("set"))
+    there = atoms.groupBy("structure_id").agg(F.collect_set("chain").alias("present"))
+    checked = entries.join(there, "structure_id", "left").withColumn("missing", F.array_sort(F.array_except("chains", "present")))
+    sets = checked.where("present IS NOT NULL AND size(missing) = 0").select("structure_id", "set", F.array_sort(F.array_distinct("chains")).alias("chains")).distinct()
+    chosen = atoms.join(sets.select("structure_id", "set", F.explode("chains").alias("chain")), ["structure_id", "chain"])
+    error = F.when(F.col("present").isNull(), "input structure not found").when(F.size("missing") > 0, F.concat(F.lit("selected chain not found: "), F.col("missing")[0]))
+    checked = checked.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("err"))
+    return checked.drop("present", "missing"), shrake_rupley(chosen, key=["structure_id", "set"], **options)
+
+
 def selection_areas(atoms: DataFrame, entries: DataFrame, **options) -> DataFrame:
     """Area of each entry (structure_id, id, chains): its chains hide each other, others are absent. Equal sets of one structure are computed once.
 
     Returns structure_id, id, total_area, n_atoms, status and error; entries without a structure or chain are error rows.
     """
-    entries = entries.select("structure_id", "id", F.array_sort(F.array_distinct("chains")).alias("chains")).withColumn("set", F.array_join("chains", ","))
-    there = atoms.groupBy("structure_id").agg(F.collect_set("chain").alias("present"))
-    checked = entries.join(there, "structure_id", "left").withColumn("missing", F.array_except("chains", "present"))
-    sets = checked.where("present IS NOT NULL AND size(missing) = 0").select("structure_id", "set", "chains").distinct()
-    chosen = atoms.join(sets.select("structure_id", "set", F.explode("chains").alias("chain")), ["structure_id", "chain"])
-    areas = shrake_rupley(chosen, key=["structure_id", "set"], **options).groupBy("structure_id", "set").agg(F.sum("area").alias("total_area"), F.count("*").alias("n_atoms"))
-    error = F.when(F.col("present").isNull(), "input structure not found").when(F.size("missing") > 0, F.concat(F.lit("selected chain not found: "), F.col("missing")[0]))
-    out = checked.withColumn("error", error).join(areas, ["structure_id", "set"], "left")
-    return out.select("structure_id", "id", "total_area", "n_atoms", F.when(F.col("error").isNull(), "ok").otherwise("err").alias("status"), "error")
+    checked, areas = _selections(atoms, entries, options)
+    sums = areas.groupBy("structure_id", "set").agg(F.sum("area").alias("total_area"), F.count("*").alias("n_atoms"))
+    return checked.join(sums, ["structure_id", "set"], "left").select("structure_id", "id", "total_area", "n_atoms", "status", "error")
+
+
+def selection_atoms(atoms: DataFrame, entries: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """entries with status and error, and the area of every atom of each entry that is ok (structure_id, id, atom_index, area)."""
+    checked, areas = _selections(atoms, entries, options)
+    rows = areas.join(checked.where("status = 'ok'").select("structure_id", "set", "id"), ["structure_id", "set"])
+    return checked.drop("set"), rows.select("structure_id", "id", "atom_index", "area")
 
 
 def buried_atoms(atoms: DataFrame, interfaces: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, **options) -> DataFrame:

@@ -139,11 +139,14 @@ def component_radii(spark, d):
     return classify.analyze_bonds(atoms, bonds).select("comp_id", "idx", "atom_id", "heavy_bonds", "heavy_valence", "h_bonds", "hybridization", "implicit_h", "radius", "atom_class")
 
 
+def _entries(atoms: DataFrame) -> DataFrame:
+    ids = atoms.select("structure_id").distinct()
+    return ids.select("structure_id", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, c)).alias("chains")) for i, c in (("an", "AN"), ("na", "NA"), ("r", "R"), ("z", "Z"))])))
+
+
 def chain_selections(spark, d):
     atoms = pseudo_atoms(spark, d)
-    ids = atoms.select("structure_id").distinct()
-    entries = ids.select("structure_id", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, c)).alias("chains")) for i, c in (("an", "AN"), ("na", "NA"), ("r", "R"), ("z", "Z"))])))
-    return selections.selection_areas(atoms, entries, n_points=POINTS, probe=PROBE).select("structure_id", "id", "n_atoms", "status", "error", *_r("total_area"))
+    return selections.selection_areas(atoms, _entries(atoms), n_points=POINTS, probe=PROBE).select("structure_id", "id", "n_atoms", "status", "error", *_r("total_area"))
 
 
 def _faces(atoms: DataFrame) -> DataFrame:
@@ -288,6 +291,23 @@ def frame_results(spark, d):
     return trajectory.frame_results(atoms, frames, n_points=POINTS, probe=PROBE).select("structure_id", "frame", "n_atoms", "status", "error", *_r("total_sasa"))
 
 
+def selection_json(spark, d):
+    """Result documents of chain selections with what their atoms are, or errors."""
+    atoms = pseudo_atoms(spark, d)
+    entries, areas = selections.selection_atoms(atoms, _entries(atoms), n_points=POINTS, probe=PROBE)
+    return sinks.selection_rows(entries, areas, atoms)
+
+
+def rsa_lines(spark, d):
+    """The lines of the table of absolute and relative areas."""
+    return sinks.rsa_lines(analysis.breakdown(_rows(spark, d)))
+
+
+def summary_text(spark, d):
+    """A text report on each structure."""
+    return sinks.summary_text(surface.totals(_areas(pseudo_atoms(spark, d))), "points", "none", PROBE, ("points", POINTS))
+
+
 def first_problems(spark, d):
     """The first ten rows of a faulty table that can't be atoms."""
     return schema.first_problems(_faulty(spark, d)).select("structure_id", "atom_index", "problem")
@@ -302,7 +322,7 @@ def trajectory_mean(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_atoms_by_structure, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
-              sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, frame_results, first_problems, trajectory_mean)
+              sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, frame_results, first_problems, trajectory_mean, selection_json, rsa_lines, summary_text)
 } | {"altloc_auto": _altloc("auto"), "altloc_highest": _altloc("highest-occupancy"), "altloc_selected": _altloc("selected", "B"), "altloc_all": _altloc("all")}
 
 
@@ -480,6 +500,21 @@ def oracle() -> dict[str, str]:
             SELECT structure_id, frame, any_value(n - CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN gone ELSE 0 END) AS n_atoms, CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN 'err' ELSE 'ok' END AS status,
                 CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN any_value((n - gone) || ' of ' || n || ' atoms') END AS error, CASE WHEN structure_id % 5 = 2 AND frame = 3 THEN NULL ELSE round(sum(area), 3) END AS total_sasa
             FROM areas JOIN size USING (structure_id) GROUP BY structure_id, frame""",
+        "selection_json": f"""{sets}, e AS (SELECT DISTINCT structure_id FROM atoms), have AS (SELECT structure_id, list(DISTINCT chain) AS c FROM atoms GROUP BY structure_id),
+            l AS (SELECT structure_id, s, round(sum(area), 3) AS total, list(round(area, 3) ORDER BY atom_index) AS ar, list(atom_index ORDER BY atom_index) AS ix, list(chain ORDER BY atom_index) AS ch, list(residue ORDER BY atom_index) AS na, list(residue_num ORDER BY atom_index) AS nu, list(ins_code ORDER BY atom_index) AS ic, list(atom_name ORDER BY atom_index) AS an, list(element ORDER BY atom_index) AS el
+                  FROM areas JOIN atoms USING (structure_id, atom_index) GROUP BY structure_id, s),
+            q AS (SELECT e.structure_id, v.*, list_sort(list_filter(chains, lambda x: NOT list_contains(have.c, x))) AS missing FROM e JOIN have USING (structure_id) JOIN (VALUES ('an', 'an', ['A', 'N']), ('na', 'an', ['N', 'A']), ('r', 'r', ['R']), ('z', 'z', ['Z'])) AS v(id, s, chains) ON TRUE)
+            SELECT structure_id, id, CASE WHEN len(missing) = 0 THEN CAST(to_json({{'status': 'ok', 'filename': structure_id::VARCHAR, 'id': id, 'chains': chains, 'total_area': total, 'atom_areas': ar, 'source_atom_index': ix, 'atom_chain': ch, 'atom_residue_name': na, 'atom_residue_number': nu, 'atom_insertion_code': ic, 'atom_name': an, 'atom_element': el}}) AS VARCHAR)
+                ELSE CAST(to_json({{'status': 'err', 'filename': structure_id::VARCHAR, 'id': id, 'chains': chains, 'error': 'selected chain not found: ' || missing[1]}}) AS VARCHAR) END AS value FROM q LEFT JOIN l USING (structure_id, s)""",
+        "rsa_lines": f"""{sr}, r AS (SELECT structure_id, chain, residue, residue_num, ins_code, {split}, min(atom_index) AS f FROM rows_ GROUP BY structure_id, chain, residue, residue_num, ins_code),
+            c AS (SELECT structure_id, chain, {', '.join(f'sum({n}) AS {n}' for n in ('total', 'side', 'main', 'apolar', 'polar'))}, row_number() OVER (PARTITION BY structure_id ORDER BY min(f)) AS no FROM r GROUP BY structure_id, chain),
+            t AS (SELECT structure_id, {', '.join(f'sum({n}) AS {n}' for n in ('total', 'side', 'main', 'apolar', 'polar'))} FROM c GROUP BY structure_id)
+            SELECT structure_id, (f + 10)::BIGINT AS place, printf('RES %3s %3s %-4s ', residue, chain, residue_num || ins_code) || printf('%7.2f%6.1f', total, 100 * total / {_case(MAX_SASA, 'residue')}) || printf('%7.2f   N/A%7.2f   N/A%7.2f   N/A%7.2f   N/A', side, main, apolar, polar) AS value FROM r
+            UNION ALL SELECT structure_id, {1 << 40} + no, printf('CHAIN%3d %3s %10.1f   %10.1f   %10.1f   %10.1f   %10.1f', no, chain, total, side, main, apolar, polar) FROM c
+            UNION ALL SELECT structure_id, {2 << 40} + 1, printf('TOTAL        %10.1f   %10.1f   %10.1f   %10.1f   %10.1f', total, side, main, apolar, polar) FROM t
+            UNION ALL SELECT structure_id, p, CASE n WHEN 0 THEN 'REM  Absolute and relative areas of ' || structure_id ELSE v END FROM t JOIN (VALUES (0, 0, ''), (1, 1, 'REM RES _ NUM      All-atoms   Total-Side   Main-Chain    Non-polar    All polar'),
+                (2, 2, 'REM                ABS   REL    ABS   REL    ABS   REL    ABS   REL    ABS   REL'), (3, {1 << 40}, 'END  Absolute sums over single chains surface'), (4, {2 << 40}, 'END  Absolute sums over all chains')) AS h(n, p, v) ON TRUE""",
+        "summary_text": f"{sr} SELECT structure_id, 'PARAMETERS' || chr(10) || 'algorithm    : points' || chr(10) || 'classifier   : none' || chr(10) || 'probe-radius : 1.40' || chr(10) || 'points       : {POINTS}' || chr(10) || 'input        : ' || structure_id || chr(10) || chr(10) || 'RESULTS (A^2)' || chr(10) || printf('Total   : %10.2f', sum(area)) AS value FROM areas GROUP BY structure_id",
         "trajectory_mean": f"{frames} SELECT structure_id, count(*) AS n_frames, round(avg(s), 3) AS mean_sasa FROM (SELECT structure_id, frame, sum(area) AS s FROM areas GROUP BY structure_id, frame) AS q GROUP BY structure_id",
         "sr_routed": f"{sr} SELECT structure_id, atom_index, exposed, round(area, 3) AS area FROM areas",
         "sr_bitmask": f"{atoms}, {_pairs('atoms')}, {_masked('m', [sphere_points(POINTS)])} SELECT structure_id, atom_index, exposed, round({ball} * exposed / {POINTS}, 3) AS area, round({ball} * {corrected}, 3) AS corrected FROM m",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.elements import MAX_SASA, lookup
 from ..schema import InputError
 
 
@@ -96,3 +97,48 @@ def interface_rows(faces: DataFrame, residues: DataFrame, decimals: int = 3) ->
     good = F.to_json(F.struct(F.lit("ok").alias("status"), *start, *[shown(c).alias(c) for c in sums], *_columns_of(F.col("rows"), names)))
     bad = F.to_json(F.struct(F.lit("err").alias("status"), *start, "error"))
     return faces.join(listed, ["structure_id", "id"], "left").select("structure_id", "id", F.when(F.col("error").isNull(), good).otherwise(bad).alias("value"))
+
+
+def selection_rows(entries: DataFrame, areas: DataFrame, atoms: DataFrame, decimals: int = 3) -> DataFrame:
+    """value, a JSON line for each entry of selection_atoms(): its chains as asked, areas and what the atoms are as arrays in order of atoms, or status err and the error."""
+    shown = lambda c: rounded(c, decimals)
+    one = F.struct("atom_index", shown(F.col("area")).alias("shown"), "area", "chain", "residue", "residue_num", "ins_code", "atom_name", "element")
+    named = areas.join(atoms.select("structure_id", "atom_index", "chain", "residue", "residue_num", "ins_code", "atom_name", "element"), ["structure_id", "atom_index"])
+    listed = named.groupBy("structure_id", "id").agg(shown(F.sum("area")).alias("total_area"), F.array_sort(F.collect_list(one)).alias("rows"))
+    names = {
+        "atom_areas": "shown", "source_atom_index": "atom_index", "atom_chain": "chain", "atom_residue_name": "residue", "atom_residue_number": "residue_num", "atom_insertion_code": "ins_code", "atom_name": "atom_name",
+        "atom_element": "element",
+    }
+    start = [F.col("structure_id").cast("string").alias("filename"), "id", "chains"]
+    good = F.to_json(F.struct(F.lit("ok").alias("status"), *start, "total_area", *_columns_of(F.col("rows"), names)))
+    bad = F.to_json(F.struct(F.lit("err").alias("status"), *start, "error"))
+    return entries.join(listed, ["structure_id", "id"], "left").select("structure_id", "id", F.when(F.col("status") == "ok", good).otherwise(bad).alias("value"))
+
+
+def rsa_lines(parts: DataFrame) -> DataFrame:
+    """structure_id, place and value, the lines of a table of absolute and relative areas from analysis.breakdown(): residues in order of their first atoms, chains, and the total. order by structure_id and place."""
+    best = lookup(MAX_SASA, F.col("residue"))
+    share = lambda rel: F.coalesce(F.format_string("%6.1f", rel), F.lit("   N/A")) if rel is not None else F.lit("   N/A")
+    sums = ["total", "side", "main", "apolar", "polar"]
+    both = F.concat(*[F.concat(F.format_string("%7.2f", n), F.when(best > 0, share(F.col("total") * 100 / best)).otherwise(share(None)) if n == "total" else share(None)) for n in sums])
+    number = F.concat(F.col("residue_num").cast("string"), F.coalesce("ins_code", F.lit("")))
+    wide = F.concat_ws("   ", *[F.format_string("%10.1f", n) for n in sums])
+    chain = F.format_string("%3s", F.coalesce("chain", F.lit("")))
+    step = 1 << 40  # more than a structure has atoms
+    residues = parts.where("level = 0").select("structure_id", (F.col("first_atom") + 10).alias("place"), F.concat(F.lit("RES "), F.format_string("%3s", F.coalesce("residue", F.lit(""))), F.lit(" "), chain, F.lit(" "), F.rpad(number, F.greatest(F.lit(4), F.length(number)), F.lit(" ")), F.lit(" "), both).alias("value"))
+    at = F.row_number().over(Window.partitionBy("structure_id").orderBy("first_atom"))
+    chains = parts.where("level = 1").withColumn("no", at).select("structure_id", (F.lit(step) + F.col("no")).alias("place"), F.concat(F.format_string("CHAIN%3d ", "no"), chain, F.lit(" "), wide).alias("value"))
+    whole = parts.where("level = 2")
+    total = whole.select("structure_id", F.lit(2 * step + 1).alias("place"), F.concat(F.lit("TOTAL        "), wide).alias("value"))
+    fixed = [
+        (0, F.concat(F.lit("REM  Absolute and relative areas of "), F.col("structure_id").cast("string"))), (1, F.lit("REM RES _ NUM      All-atoms   Total-Side   Main-Chain    Non-polar    All polar")),
+        (2, F.lit("REM                ABS   REL    ABS   REL    ABS   REL    ABS   REL    ABS   REL")), (step, F.lit("END  Absolute sums over single chains surface")), (2 * step, F.lit("END  Absolute sums over all chains")),
+    ]
+    rest = whole.select("structure_id", F.inline(F.array(*[F.struct(F.lit(n).cast("long").alias("place"), v.alias("value")) for n, v in fixed])))
+    return residues.unionByName(chains).unionByName(total).unionByName(rest)
+
+
+def summary_text(totals: DataFrame, algorithm: str, classifier: str, probe: float, detail: tuple[str, int] | None = None) -> DataFrame:
+    """structure_id and value, a short text report on each structure's total_area."""
+    lines = ["PARAMETERS", f"algorithm    : {algorithm}", f"classifier   : {classifier}", f"probe-radius : {probe:.2f}", *([f"{detail[0]:<13}: {detail[1]}"] if detail else [])]
+    return totals.select("structure_id", F.concat(F.lit("\n".join(lines) + "\ninput        : "), F.col("structure_id").cast("string"), F.lit("\n\nRESULTS (A^2)\n"), F.format_string("Total   : %10.2f", "total_area")).alias("value"))
