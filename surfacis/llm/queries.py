@@ -11,11 +11,13 @@ from .common import SPACE, let, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more share. A null text is one empty line; rows that repeat or share an id count and stay each for itself."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back. Turns that share a number stand by role, then text; null roles and texts are empty, a null conv_id is a conversation."""
     own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     back = chat.read_back(chat.format_chat(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
@@ -24,6 +26,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text and of the next document's. A null text is empty; null ids come last, rows of one id follow each other by text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = fingerprint.with_next(fingerprint.fingerprints(docs), "doc_id", ["text", "packed"])
     n = F.length("text")
@@ -34,16 +37,19 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The token store of all documents, written and read back. A null text is the end id alone; rows that share an id follow each other as they stand in the table, null ids first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     store = token_store.write_store(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return store.documents().withColumnRenamed("id", "doc_id")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.85 on four-word shingles. Texts without words link with nothing; rows without an id or with a shared one stay."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, p=17, q=20).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from labels of two thirds of the ids. A null or empty text is scored as one without words; a null id is not held out."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learned(docs, table(spark, sf_dir, "labels").where(~held))
@@ -51,20 +57,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages in every text. A null text has no words."""
     return license.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.9. Null, zero and non-finite vectors link with nothing; rows that share an id are vectors each."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Token ids of every text and what they decode to. A null text has none; rows that repeat or share an id are coded each for itself."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. A null text has size 0 and is not taken; a null source is the last source; rows that repeat are taken alike."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
