@@ -37,7 +37,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """The token store of all documents, written and read back. A null text is the end id alone; rows that share an id follow each other as they stand in the table, null ids first."""
+    """The token store of all documents, written and read back. A null text is the end id alone; rows that share an id follow each other by their Merkle roots, null ids first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     store = token_store.write_store(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return store.documents().withColumnRenamed("id", "doc_id")

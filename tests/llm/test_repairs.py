@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from surfacis.llm import chat, common, embed_dedup, html_text, line_dedup, periodic, quality, queries, repair, token_store
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -292,3 +293,9 @@ def test_empty_tables(spark, tmp_path):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), 1, str(tmp_path / "store")).documents().collect() == []
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
