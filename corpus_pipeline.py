@@ -62,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the whole documents table, each written as Parquet in the shared folder and read again. Null and shared ids are rows of their own throughout; an empty table gives an empty one of the last stage's columns."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
