@@ -37,9 +37,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the smallest id, null ids last, and of rows that share it the first. Texts without words link with nothing and stay."""
     rows = _numbered(docs, "pipeline-rows")
     group = jaccard_join.jaccard_components(rows, words=5, p=4, q=5, id_col="__row").select("__row", F.col("component_id").alias("__group"))
-    grouped = staged(rows.join(group, "__row"), "pipeline-groups")
+    grouped = staged(rows.select("doc_id", "__row").join(group, "__row"), "pipeline-groups")
     first = grouped.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("__first")).select(F.col("__first.__row").alias("__row"))
-    return grouped.join(first, "__row", "left_semi").select(*COLUMNS)
+    return rows.join(first, "__row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
