@@ -21,7 +21,7 @@ from .common import in_ranges, new_path, running_sum, stage
 #: Ids in the rolling window; chunks have LEAST to MOST ids, about MEAN.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
 #: Words and chunk keys that a Python worker remembers at most.
-MEMO_WORDS, MEMO_KEYS = 600_000, 200_000
+MEMO_WORDS, MEMO_KEYS = 400_000, 200_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tokenizers: dict[str, Encoder] = {}
 _powers: list[np.ndarray] = []
