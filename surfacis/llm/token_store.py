@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import in_ranges, new_path, running_sum, stage
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
 #: Words and chunk keys that a Python worker remembers at most.
 MEMO_WORDS, MEMO_KEYS = 400_000, 200_000
+#: Bytes of texts, about, that a worker splits into words at a time.
+PIECE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tokenizers: dict[str, Encoder] = {}
 _powers: list[np.ndarray] = []
@@ -171,14 +174,20 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
 _CHUNK = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows, each PIECE bytes of text and one text more at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)) // PIECE
+    cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and scanning the memo's words costs more than encoding them
         kind, sent = _encoder(path).kind, set()
         end = np.array([end_id], kind).tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
+            for batch in _pieces(whole):
                 rows, counts, roots = [], [], []
                 for raw in encode_words([t or "" for t in batch.column("text").to_pylist()], path):
                     ids, chunks, last = np.frombuffer(raw + end, kind), [], 0
