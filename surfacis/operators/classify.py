@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.elements import guessed_radius
+from ..functions.radii import BUILTIN
 from ..schema import InputError
 
 #: Rows of a classifier table up to which it is broadcast; a larger one is joined by shuffle.
@@ -26,10 +27,22 @@ def read_classifier(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "residue string, atom_name string, radius double, atom_class string")
 
 
-def classify(atoms: DataFrame, table: DataFrame, any_residue: bool = True, guess: bool = True, original: bool = True) -> DataFrame:
+def builtin(spark: SparkSession, name: str) -> DataFrame:
+    """residue, atom_name, radius, atom_class of a built-in classifier, some two hundred rows."""
+    if name not in BUILTIN:
+        raise InputError(f"unknown classifier {name}: {', '.join(BUILTIN)}")
+    return spark.createDataFrame(BUILTIN[name](), "residue string, atom_name string, radius double, atom_class string")
+
+
+def classify_builtin(atoms: DataFrame, name: str) -> DataFrame:
+    """classify() by a built-in table, with the element that the atom's name suggests, whatever the row's own element is. A null residue meets ANY only, a null name nothing."""
+    return classify(atoms, builtin(atoms.sparkSession, name), by_name=True)
+
+
+def classify(atoms: DataFrame, table: DataFrame, any_residue: bool = True, guess: bool = True, original: bool = True, by_name: bool = False) -> DataFrame:
     """Replace radius and add atom_class and matched (exact, any, element, original or none).
 
-    The exact residue and atom come first, then residue ANY, then the element, then the radius that the row has.
+    The exact residue and atom come first, then residue ANY, then the element (by_name: of the name alone), then the radius that the row has.
     A table with repeated keys keeps its largest radius for each.
     """
     table = table.groupBy("residue", "atom_name").agg(F.max(F.struct("radius", "atom_class")).alias("t"))
@@ -39,7 +52,7 @@ def classify(atoms: DataFrame, table: DataFrame, any_residue: bool = True, guess
     anyone = table.where("residue = 'ANY'").select(F.col("atom_name").alias("__m"), F.col("t").alias("__any"))
     rows = atoms.drop("atom_class", "matched").join(side(exact), (F.trim("residue") == F.col("__r")) & (F.trim("atom_name") == F.col("__n")), "left")
     rows = rows.join(side(anyone), F.trim("atom_name") == F.col("__m"), "left") if any_residue else rows.withColumn("__any", F.lit(None).cast("struct<radius:double,atom_class:string>"))
-    guessed = guessed_radius(F.col("element"), F.col("atom_name")) if guess else F.lit(None).cast("double")
+    guessed = guessed_radius(F.lit(None) if by_name else F.col("element"), F.col("atom_name")) if guess else F.lit(None).cast("double")
     kept = F.col("radius") if original else F.lit(None).cast("double")
     matched = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__any").isNotNull(), "any").when(guessed.isNotNull(), "element").when(kept.isNotNull(), "original").otherwise("none")
     rows = rows.withColumns({"matched": matched, "atom_class": F.coalesce("__exact.atom_class", "__any.atom_class", F.lit("unknown")), "radius": F.coalesce("__exact.radius", "__any.radius", guessed, kept)})

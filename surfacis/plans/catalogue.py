@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.elements import MAX_SASA, POLAR, NONPOLAR, RADIUS_BY_NUMBER, RADIUS_BY_SYMBOL, element_of_name, guessed_radius
 from ..functions.geometry import N_POINTS, N_SLICES, PROBE, sphere_points
+from ..functions.radii import BUILTIN
 from ..operators import analysis, batch, classify, components, masks, neighbors, policies, selections, surface, trajectory
 from ..sources import sinks
 from ..sources.pseudo import ATOMS_SQL, pseudo_atoms
@@ -117,6 +118,22 @@ def classified_atoms(spark, d):
     return _classified(spark, d).select("structure_id", "atom_index", "radius", "atom_class", "matched")
 
 
+def naccess_atoms(spark, d):
+    """Radii and classes of atoms by the built-in NACCESS table."""
+    return classify.classify_builtin(pseudo_atoms(spark, d), "naccess").select("structure_id", "atom_index", "radius", "atom_class", "matched")
+
+
+def oons_atoms(spark, d):
+    """Radii and classes of atoms by the built-in OONS table."""
+    return classify.classify_builtin(pseudo_atoms(spark, d), "oons").select("structure_id", "atom_index", "radius", "atom_class", "matched")
+
+
+def builtin_counts(spark, d):
+    """Atoms of structures by how the built-in tables found their radii."""
+    made = [classify.match_counts(classify.classify_builtin(pseudo_atoms(spark, d), n)).withColumn("classifier", F.lit(n)) for n in BUILTIN]
+    return made[0].unionByName(made[1]).select("classifier", "structure_id", "matched", "n_atoms")
+
+
 def match_counts(spark, d):
     return classify.match_counts(_classified(spark, d))
 
@@ -321,7 +338,7 @@ def trajectory_mean(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_atoms_by_structure, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
+    for f in (neighbor_degree, sr_atoms, sr_atoms_by_cell, sr_atoms_by_structure, sr_total, lr_total, residue_areas, residue_classes, residue_runs, rsa_table, residue_rsa, polar_summary, class_totals, chain_totals, validation, standard_filters, classified_atoms, match_counts, naccess_atoms, oons_atoms, builtin_counts, element_guess, component_radii, chain_selections, buried_surface, trajectory_totals, trajectory_residues,
               sr_routed, sr_bitmask, sr_bitmask_corrected, sr_adaptive, frame_variants, job_areas, batch_status, batch_summary, interface_atoms, interface_residues, residue_map_json, interface_json, resolved_components, frame_results, first_problems, trajectory_mean, selection_json, rsa_lines, summary_text)
 } | {"altloc_auto": _altloc("auto"), "altloc_highest": _altloc("highest-occupancy"), "altloc_selected": _altloc("selected", "B"), "altloc_all": _altloc("all")}
 
@@ -339,6 +356,16 @@ def _in(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _builtin_sql(name: str, named: str, by_name: str) -> str:
+    """A built-in table as ranked candidates of which the first counts: 0 the residue's own, 1 those of ANY, 2 the name's element, 3 the row's radius."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(r)}, {quoted(a)}, {_d(x)}, {quoted(c)})" for r, a, x, c in BUILTIN[name]())
+    return f"""(WITH t(r, a, x, c) AS (VALUES {rows}), q AS (SELECT * FROM {named}),
+        found AS (SELECT structure_id, atom_index, CASE WHEN r = 'ANY' THEN 1 ELSE 0 END AS rank, t.x, c FROM q JOIN t ON a = atom_name AND r IN (residue, 'ANY')
+            UNION ALL SELECT structure_id, atom_index, 2, {by_name}, 'unknown' FROM q WHERE {by_name} IS NOT NULL UNION ALL SELECT structure_id, atom_index, 3, radius, 'unknown' FROM q)
+        SELECT structure_id, atom_index, arg_min(x, rank) AS radius, arg_min(c, rank) AS atom_class, CASE min(rank) WHEN 0 THEN 'exact' WHEN 1 THEN 'any' WHEN 2 THEN 'element' ELSE 'original' END AS matched FROM found GROUP BY structure_id, atom_index)"""
+
+
 def _points(points) -> str:
     return ", ".join(f"({i}, {_d(float(x))}, {_d(float(y))}, {_d(float(z))})" for i, (x, y, z) in enumerate(points))
 
@@ -484,6 +511,8 @@ def oracle() -> dict[str, str]:
         "validation": f"{atoms} SELECT structure_id, count(*) AS n_atoms, count(*) FILTER (WHERE radius <= 0 OR radius > 100) AS n_problems, count(*) - count(DISTINCT (x, y, z)) AS n_duplicates FROM atoms GROUP BY structure_id",
         "standard_filters": f"{atoms} SELECT structure_id, atom_index, row_number() OVER (PARTITION BY structure_id ORDER BY atom_index) - 1 AS source_atom_index FROM atoms WHERE record = 'ATOM' AND element <> 1 AND model_num = 2 AND chain IN ('A', 'N')",
         "classified_atoms": f"{atoms}, {classes} SELECT structure_id, atom_index, radius, atom_class, matched FROM cls",
+        **{f"{n}_atoms": f"{atoms} SELECT * FROM {_builtin_sql(n, named, _case(RADIUS_BY_SYMBOL, 'symbol'))} AS f" for n in BUILTIN},
+        "builtin_counts": f"{atoms} " + " UNION ALL ".join(f"SELECT '{n}' AS classifier, structure_id, matched, count(*) AS n_atoms FROM {_builtin_sql(n, named, _case(RADIUS_BY_SYMBOL, 'symbol'))} AS f GROUP BY structure_id, matched" for n in BUILTIN),
         "match_counts": f"{atoms}, {classes} SELECT structure_id, matched, count(*) AS n_atoms FROM cls GROUP BY structure_id, matched",
         "element_guess": f"{atoms} SELECT DISTINCT atom_name, element, symbol, {guess} AS radius FROM {named} AS q",
         "component_radii": component_radii_sql(_COMP_ATOMS, _COMP_BONDS),
