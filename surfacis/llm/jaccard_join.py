@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: parity sketches by size band, joined block by block, then verified."""
+"""N-gram Jaccard join: sets cut into blocks by size band, joined block by block, weeded out by parity sketches, then verified."""
 
 from __future__ import annotations
 
@@ -101,14 +101,17 @@ def schemes(n: int, p: int, q: int) -> list[tuple[int, int]]:
     return out
 
 
-def parity_blocks(s: np.ndarray, blocks: int) -> np.ndarray:
-    """Two planes of blocks x 64 parity bits; every element of the sorted set s toggles one bit in each, in the block that its hash names."""
+def block_marks(s: np.ndarray, blocks: int) -> np.ndarray:
+    """For each of blocks the XOR of the whole 64-bit hashes in it, 0 for a blank one; every element of the sorted set s lies in the block that its hash names.
+
+    Equal blocks have equal marks, and different ones don't meet by chance. (A few parity bits for a block would: one element has some
+    thousand patterns of them, and the rows that share one by chance grow with the square of the table.)
+    """
     block = ((s >> _U(32)) * _U(blocks)) >> _U(32)
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))  # blocks follow the order of s
-    planes = np.zeros((2, blocks), np.uint64)
-    for plane, shift in zip(planes, (0, 8)):
-        plane[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(_U(1) << ((s >> _U(shift)) & _U(63)), starts)
-    return planes
+    marks = np.zeros(blocks, np.uint64)
+    marks[block[starts].astype(np.int64)] = np.bitwise_xor.reduceat(s, starts)
+    return marks
 
 
 def wide_sketch(s: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -126,24 +129,23 @@ def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
     return sketch
 
 
-def needed(planes: np.ndarray, apart: int) -> np.ndarray:
+def needed(marks: np.ndarray, apart: int) -> np.ndarray:
     """Blocks whose keys a set gives out, if it differs from a linked set by apart elements at most: the first that hold apart + 1 which aren't blank, without the blank ones; all if it has fewer.
 
     Linked sets u and v differ in no more blocks than elements. Say that u's first blocks end no later than v's (or
     v gives out all): of the apart + 1 of u that aren't blank one agrees with v's, is thus not blank there, and v gives it out too.
     If both give out all blocks, one of them agrees. So blank blocks, which all small enough sets share, make no bucket.
     """
-    full = np.flatnonzero(planes.any(axis=0))
-    return full[: apart + 1] if len(full) > apart else np.arange(planes.shape[1])
+    full = np.flatnonzero(marks)
+    return full[: apart + 1] if len(full) > apart else np.arange(len(marks))
 
 
 def block_keys(s: np.ndarray, p: int, q: int) -> np.ndarray:
     out, n = [], len(s)
     for scheme, blocks in schemes(n, p, q):
-        planes = parity_blocks(s, blocks)
-        at = needed(planes, min(blocks - 1, most_apart(n + n * q // p, p, q)))
-        a, b = planes[:, at]
-        out.append(_mix(a ^ _mix(b + _mix(at.astype(np.uint64) + _U(scheme << 40)))))
+        marks = block_marks(s, blocks)
+        at = needed(marks, min(blocks - 1, most_apart(n + n * q // p, p, q)))
+        out.append(_mix(marks[at] ^ _mix(at.astype(np.uint64) + _U(scheme << 40))))
     return np.concatenate(out).view(np.int64)
 
 

@@ -173,6 +173,15 @@ def test_block_bound_holds():
                 assert len(np.intersect1d(jaccard_join.block_keys(s, 4, 5), jaccard_join.block_keys(t, 4, 5)))
 
 
+def test_blocks_meet_by_their_elements_alone():
+    """Sets without a common element, of sizes that give out no blank block, share no block key, however many there are; near copies do."""
+    rng = np.random.default_rng(10)
+    sets = [jaccard_join._distinct(jaccard_join._mix(rng.integers(0, 2**63, n).astype(np.uint64))) for n in rng.integers(500, 560, 300)]
+    keys = [np.unique(jaccard_join.block_keys(s, 4, 5)) for s in sets]
+    assert len(np.unique(np.concatenate(keys))) == sum(map(len, keys))
+    assert all(len(np.intersect1d(k, jaccard_join.block_keys(s[:-1], 4, 5))) for s, k in zip(sets, keys))
+
+
 def test_quality_learns_a_rule(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
