@@ -6,6 +6,7 @@ import gc
 import hashlib
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,6 +73,8 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SUFFIX = "</w>"
 #: Words to a call of the tokenizers library.
 _JOINED = 64
+#: Closing punctuation of a word: behind an ASCII letter or digit, where the tokenizer always splits, up to white space.
+_CLOSING = re.compile(rb"[.,;:!?*#$%&|](?<=[A-Za-z0-9].)[.,;:!?*#$%&|]*(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
 class Encoder:
@@ -80,16 +83,21 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.tokenizer, self.old, self.young = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.bare, self.old, self.young = Tokenizer.from_file(path), None, {}, {}
         vocab = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.added = [a["content"] for a in told.get("added_tokens", [])]
+        self.marks = [a.encode() for a in self.added]
         splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = told.get("normalizer") == _NORMALIZER and splits[0].get("pattern") == {"Regex": _PATTERN} and len(splits) == 2 and told["model"].get("end_of_word_suffix") == _SUFFIX
         self.by_word = self.by_word and told["model"].get("dropout") is None and told.get("post_processor") is None and all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in told["added_tokens"])
+        if self.by_word and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space"):
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = WhitespaceSplit()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for k, i in vocab.items() if k.endswith(_SUFFIX)]] = True
 
@@ -97,19 +105,33 @@ class Encoder:
         """The library's own call."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; all others have calls of their own."""
-        out, letters = {}, [w for w in words if w.isalpha() and w.lower().isalpha()]
-        groups = [letters[i : i + _JOINED] for i in range(0, len(letters), _JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-            if len(cuts) == len(group) and cuts[-1] == ids.nbytes:
-                raw = ids.tobytes()
-                out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+    def parts(self, text: str) -> list[bytes]:
+        """The text between ASCII white space, with closing punctuation apart. A-Z are lower-cased, as the tokenizer does, unless a combining mark (U+0300 to U+037F) might join a letter before that, or the string of an added token would come up."""
+        raw = text.encode("utf-8", "replace")
+        low = raw.lower()
+        if b"\xcc" not in raw and b"\xcd" not in raw and not any(a in low for a in self.marks):
+            raw = low
+        return _CLOSING.sub(rb" \g<0>", raw).split()
+
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; those of a to z are what its normalizer and splits leave as they are, so its model gets them alone. All others have calls of their own."""
+        out, plain, letters = {}, [], []
+        for w in words:
+            if self.bare and w.isalpha() and w.islower():  # of bytes: a to z alone
+                plain.append(w)
+            elif (x := w.decode()).isalpha() and x.lower().isalpha():
+                letters.append(w)
+        for coder, some in ((self.bare, plain), (self.tokenizer, letters)):
+            groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
+            for group, e in zip(groups, coder.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False) if groups else ()):
+                ids = np.array(e.ids, self.kind)
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+                if len(cuts) == len(group) and cuts[-1] == ids.nbytes:
+                    raw = ids.tobytes()
+                    out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
         rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.plain(rest)))
-        return [out[w] for w in words]
+        out.update(zip(rest, self.plain([w.decode() for w in rest])))
+        return out
 
 
 def _encoder(path: str) -> Encoder:
@@ -118,15 +140,6 @@ def _encoder(path: str) -> Encoder:
     return _tokenizers[path]
 
 
-_ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-
-
-def _core(w: bytes) -> bytes | None:
-    """The part of a word before its closing punctuation, if the tokenizer always splits there: after an ASCII letter or digit. Lower-cased, as the tokenizer does."""
-    core = w.rstrip(b".,;:!?*#$%&|")
-    return core.lower() if len(core) < len(w) and core and core[-1] in _ALNUM and core.isascii() else w.lower() if w.isascii() else None
-
-
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """Ids of every text as packed integers, as the library's plain call gives them. Where the tokenizer drops white space and splits words by the rules above, ASCII white space parts a text into words, and closing punctuation a word; each distinct part is encoded once while the memo holds it. Texts with the string of an added token, and all texts of other tokenizers, go to the plain call.
 
@@ -139,32 +152,20 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
         others = iter(encode_words([t for i, t in enumerate(texts) if i not in gone], path) if len(whole) < len(texts) else ())
         return [out[i] if i in gone else next(others) for i in range(len(texts))]
     old, young = coder.old, coder.young
-    split = [t.encode("utf-8", "replace").split() for t in texts]
+    split = [coder.parts(t) for t in texts]
     known, holes = [list(map(young.get, words)) for words in split], []
     for words, ids in zip(split, known):
         at = 0
         for _ in range(ids.count(None)):
             at = ids.index(None, at) + 1
             holes.append((ids, at - 1, words[at - 1]))
-    parts, joined = {}, []
+    new = []
     for w in {w for _, _, w in holes}:
         if (ids := old.get(w)) is not None:
             young[w] = ids
-            continue
-        core = _core(w)
-        mark = b"" if core is None else w[len(core) :]
-        core = w if core is None else core
-        parts[core] = None
-        if mark:
-            parts[mark] = None
-        if core != w:
-            joined.append((w, core, mark))
-    new = [x for x in parts if x not in young and x not in old]
-    young.update(zip(new, coder.words([x.decode() for x in new])))
-    for x in parts.keys() - young.keys():
-        young[x] = old[x]
-    for w, core, mark in joined:
-        young[w] = young[core] + young[mark] if mark else young[core]
+        else:
+            new.append(w)
+    young.update(coder.words(new))
     for ids, at, w in holes:
         ids[at] = young[w]
     coder.old, coder.young = (young, {}) if len(young) > MEMO_WORDS else (old, young)
@@ -188,21 +189,25 @@ def _chunked(path: str, end_id: int):
         end = np.array([end_id], kind).tobytes()
         for whole in batches:
             for batch in _pieces(whole):
-                rows, counts, roots = [], [], []
+                ends, counts, roots, keys, lens, parts = [0], [], [], [], [], []
                 for raw in encode_words([t or "" for t in batch.column("text").to_pylist()], path):
-                    ids, chunks, last = np.frombuffer(raw + end, kind), [], 0
+                    raw += end
+                    ids, last = np.frombuffer(raw, kind), 0
                     for e in cut_points(ids):
-                        piece = ids[last:e].tobytes()
+                        piece = raw[last * kind.itemsize : e * kind.itemsize]
                         key = hashlib.blake2b(piece, digest_size=16).digest()
-                        chunks.append({"key": key, "n": e - last, "ids": None if key in sent else piece})
+                        keys.append(key)
+                        lens.append(e - last)
+                        parts.append(None if key in sent else piece)
                         sent.add(key)
                         last = e
                     if len(sent) > MEMO_KEYS:
                         sent.clear()
-                    rows.append(chunks)
                     counts.append(len(ids))
-                    roots.append(merkle([c["key"] for c in chunks]))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(rows, pa.list_(_CHUNK))], ["id", "n_tokens", "root", "chunks"])
+                    roots.append(merkle(keys[ends[-1] :]))
+                    ends.append(len(keys))
+                chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(lens, pa.int32()), pa.array(parts, pa.binary())], fields=list(_CHUNK))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)], ["id", "n_tokens", "root", "chunks"])
 
     return run
 
