@@ -73,8 +73,10 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SUFFIX = "</w>"
 #: Words to a call of the tokenizers library.
 _JOINED = 64
-#: Closing punctuation of a word: behind an ASCII letter or digit, where the tokenizer always splits, up to white space.
-_CLOSING = re.compile(rb"[.,;:!?*#$%&|](?<=[A-Za-z0-9].)[.,;:!?*#$%&|]*(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: Closing punctuation of a word: behind a letter or digit of Latin-1, where the tokenizer always splits, up to white space.
+_CLOSING = re.compile(rb"[.,;:!?*#$%&|](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?*#$%&|]*(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: Words of lower-case letters of Latin-1.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class Encoder:
@@ -83,7 +85,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -97,7 +99,7 @@ class Encoder:
         self.by_word = self.by_word and told["model"].get("dropout") is None and told.get("post_processor") is None and all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in told["added_tokens"])
         if self.by_word and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space"):
             self.bare = Tokenizer(self.tokenizer.model)
-            self.bare.pre_tokenizer = WhitespaceSplit()
+            self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for k, i in vocab.items() if k.endswith(_SUFFIX)]] = True
 
@@ -114,10 +116,10 @@ class Encoder:
         return _CLOSING.sub(rb" \g<0>", raw).split()
 
     def words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; those of a to z are what its normalizer and splits leave as they are, so its model gets them alone. All others have calls of their own."""
+        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; those of lower-case Latin-1 are what its normalizer and splits leave as they are, so its model gets them alone. All others have calls of their own."""
         out, plain, letters = {}, [], []
         for w in words:
-            if self.bare and w.isalpha() and w.islower():  # of bytes: a to z alone
+            if self.bare and _LATIN.fullmatch(w):
                 plain.append(w)
             elif (x := w.decode()).isalpha() and x.lower().isalpha():
                 letters.append(w)

@@ -186,9 +186,10 @@ def test_word_ids_are_those_of_the_library():
     """Combining marks that lower-case letters alone are composed with, strings that are an added token's only when lower-cased, closing punctuation of all kinds; a word is remembered once whatever its case and what closes it."""
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = token_store.Encoder(path)
-    texts = ["a <|STARTOFTEXT|> x", "<|EndOfText|>, b", "<|endoftext|> A", "H\u0331 I\u0307. \u0130 A\u030a, Caf\u00e9, CAF\u00c9. \u00c9a! \u03a3\u03a3. \ufb01n, \u01c5. a\u0345.", "x.,* ,a *., a.b. 3.5. 3, A1% d'S, IT'S. 'S. l'ete|", "A.\x1d b \x85 B, C.\u2003c\x0bD!\x0cE?\rF*", "Ab, AB. ab*** aB\nab", "", " "]
+    texts = ["a <|STARTOFTEXT|> x", "<|EndOfText|>, b", "<|endoftext|> A", "H\u0331 I\u0307. \u0130 A\u030a, Caf\u00e9, CAF\u00c9. \u00c9a! \u03a3\u03a3. \ufb01n, \u01c5. a\u0345.", "x.,* ,a *., a.b. 3.5. 3, A1% d'S, IT'S. 'S. l'ete|", "\u00e9. \u00d7. \u00f7, \u00df! \u00c9t\u00e9, \u00e9t\u00e9,\u00e9 \u00ff*** \u00e9\u0301. na\u00efve \u00aa. \u00b5,", "A.\x1d b \x85 B, C.\u2003c\x0bD!\x0cE?\rF*", "Ab, AB. ab*** aB\nab", "", " "]
     assert token_store.encode_words(texts, path) == coder.plain(texts)
     assert coder.parts("Ab, AB. ab*** aB\nab\u2019") == [b"ab", b",", b"ab", b".", b"ab", b"***", b"ab", "ab\u2019".encode()]
+    assert coder.parts("\u00c9t\u00e9, \u00f7,") == ["\u00c9t\u00e9".encode(), b",", "\u00f7,".encode()]
     assert coder.parts("H\u0331.") == ["H\u0331.".encode()]
 
 
