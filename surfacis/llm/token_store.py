@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -23,41 +24,41 @@ from .common import in_ranges, new_path, running_sum, stage
 #: Ids in the rolling window; chunks have LEAST to MOST ids, about MEAN.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 2048
 #: Words and chunk keys that a Python worker remembers at most.
-MEMO_WORDS, MEMO_KEYS = 400_000, 200_000
-#: Bytes of texts, about, that a worker splits into words at a time.
-PIECE = 1 << 20
+MEMO_WORDS, MEMO_KEYS = 300_000, 200_000
+#: Bytes of texts, about, that a worker splits into words at a time; longer texts are cut at white space for that.
+PIECE = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tokenizers: dict[str, Encoder] = {}
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of _P and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(4096, 1 << n.bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 2**64))
-        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, p, np.uint64)))) for p in (_P, inverse)]
-    return _powers
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of chunks: where the polynomial hash of the last WINDOW ids falls on a pattern, LEAST to MOST ids apart."""
-    n = len(ids)
-    up, down = _power_tables(n + 1)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    sums = np.cumsum((mixed ^ (mixed >> np.uint64(32))) * down[:n])
-    rolled = sums.copy()
-    rolled[WINDOW:] -= sums[:-WINDOW]
-    at = np.flatnonzero(((rolled * up[:n]) >> np.uint64(40)) % np.uint64(MEAN - LEAST) == 0) + 1
-    ends, last = [], 0
-    for p in [*at.tolist(), n]:
-        while p - last > MOST:
-            last += MOST
-            ends.append(last)
-        if p - last >= LEAST or p == n and p > last:
-            last = p
-            ends.append(p)
-    return ends
+
+
+def cut_points(coded: list[bytes], kind: np.dtype) -> list[list[int]]:
+    """Ends of the chunks of every list of packed ids: where the polynomial hash of the last WINDOW ids falls on a pattern, LEAST to MOST ids apart."""
+    gap = WINDOW - 1  # zeros between the lists, so that no window sees ids of the list before
+    ids = np.frombuffer(bytes(gap * kind.itemsize).join(coded), kind)
+    sizes = np.array([len(raw) // kind.itemsize for raw in coded], np.int64)
+    stops = np.cumsum(sizes + gap) - gap
+    rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    rolled ^= rolled >> np.uint64(32)
+    rolled[(stops[:-1, None] + np.arange(gap)).ravel()] = 0
+    step, power = 1, int(_P)
+    while step < WINDOW:  # windows of twice the ids from two neighbours; WINDOW is a power of 2
+        rolled[step:] += rolled[:-step] * np.uint64(power)
+        step, power = 2 * step, power * power % 2**64
+    hits = np.flatnonzero((rolled >> np.uint64(40)).astype(np.uint32) % np.uint32(MEAN - LEAST) == 0) + 1
+    places = np.searchsorted(hits, stops, "right").tolist()
+    out, hits, i = [], hits.tolist(), 0
+    for n, stop, k in zip(sizes.tolist(), stops.tolist(), places):
+        ends, last, start = [], 0, stop - n
+        for p in [*(h - start for h in hits[i:k] if h > start), n]:
+            while p - last > MOST:
+                last += MOST
+                ends.append(last)
+            if p - last >= LEAST or p == n and p > last:
+                last = p
+                ends.append(p)
+        out.append(ends)
+        i = k
+    return out
 
 
 def merkle(keys: list[bytes]) -> bytes:
@@ -71,21 +72,44 @@ def merkle(keys: list[bytes]) -> bytes:
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SUFFIX = "</w>"
-#: Words to a call of the tokenizers library.
+#: Words to a text, and such texts to a call of the tokenizers library.
 _JOINED = 64
-#: Closing punctuation of a word: behind a letter or digit of Latin-1, where the tokenizer always splits, up to white space.
-_CLOSING = re.compile(rb"[.,;:!?*#$%&|](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?*#$%&|]*(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: ASCII white space; closing punctuation; letters and digits; last bytes of the letters of Latin-1 whose first byte is 0xC3.
+_SPACE, _MARKS, _ALNUM, _SECOND = b" \t\n\r\x0b\x0c", b".,;:!?*#$%&|", bytes(c for c in range(128) if chr(c).isalnum()), bytes(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7))
+_GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: The number of these kinds, from 1 on, for every byte; 0 for all others.
+_KINDS = bytes(next((k for k, some in enumerate((_SPACE, _MARKS, _ALNUM, _SECOND), 1) if c in some), 0) for c in range(256))
 #: Words of lower-case letters of Latin-1.
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
+def split_words(raw: bytes) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The parts of raw between ASCII white space, and where they start. Closing punctuation is a part of its own: behind a letter or digit of Latin-1, where the tokenizer always splits, up to white space."""
+    padded = b"\n" + raw + b"\n"
+    kinds, codes = np.frombuffer(padded.translate(_KINDS), np.uint8), np.frombuffer(padded, np.uint8)
+    space = kinds == 1
+    marks = np.flatnonzero(kinds == 2)
+    first, last = marks[np.diff(marks, prepend=-2) != 1], marks[np.diff(marks, append=-2) != 1]
+    first = first[space[last + 1] & ((kinds[first - 1] == 3) | (kinds[first - 1] == 4) & (codes[first - 2] == 0xC3))] - 1
+    start, end = space[:-1] > space[1:], space[:-1] < space[1:]
+    start[first] = end[first] = True
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw.translate(None, _SPACE))]), starts
+
+
+def _as_letters(words: bytes) -> str:
+    """Words of _LATIN as a ByteLevel pre-tokenizer tells them, a letter for each byte: those of Latin-1, but for three bytes that have none there (fixed values)."""
+    return words.decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+
+
 class Encoder:
     """A tokenizer of the tokenizers library, what its worker remembers of words, and whether it is of the kind whose words can be remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -99,7 +123,7 @@ class Encoder:
         self.by_word = self.by_word and told["model"].get("dropout") is None and told.get("post_processor") is None and all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in told["added_tokens"])
         if self.by_word and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space"):
             self.bare = Tokenizer(self.tokenizer.model)
-            self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.bare.pre_tokenizer = WhitespaceSplit()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for k, i in vocab.items() if k.endswith(_SUFFIX)]] = True
 
@@ -107,32 +131,38 @@ class Encoder:
         """The library's own call."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, text: str) -> list[bytes]:
-        """The text between ASCII white space, with closing punctuation apart. A-Z are lower-cased, as the tokenizer does, unless a combining mark (U+0300 to U+037F) might join a letter before that, or the string of an added token would come up."""
+    def lowered(self, text: str) -> bytes:
+        """The text in UTF-8, A-Z lower-cased, as the tokenizer does, unless a combining mark (U+0300 to U+037F) might join a letter before that, or the string of an added token would come up."""
         raw = text.encode("utf-8", "replace")
         low = raw.lower()
-        if b"\xcc" not in raw and b"\xcd" not in raw and not any(a in low for a in self.marks):
-            raw = low
-        return _CLOSING.sub(rb" \g<0>", raw).split()
+        return raw if b"\xcc" in raw or b"\xcd" in raw or any(a in low for a in self.marks) else low
+
+    def parts(self, text: str) -> list[bytes]:
+        """The lowered text between ASCII white space, with closing punctuation apart."""
+        return split_words(self.lowered(text))[0].to_pylist()
 
     def words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; those of lower-case Latin-1 are what its normalizer and splits leave as they are, so its model gets them alone. All others have calls of their own."""
+        """Ids of each word. Words of letters only are one piece to the tokenizer, whose last id marks its end, so many of them go into one call; those of lower-case Latin-1 are what its normalizer and splits leave as they are, so its model gets them alone, with bytes told as letters. All others have calls of their own."""
         out, plain, letters = {}, [], []
         for w in words:
-            if self.bare and _LATIN.fullmatch(w):
+            if self.bare and (w.isalpha() and w.islower() or _LATIN.fullmatch(w)):
                 plain.append(w)
             elif (x := w.decode()).isalpha() and x.lower().isalpha():
                 letters.append(w)
-        for coder, some in ((self.bare, plain), (self.tokenizer, letters)):
+        for coder, some, told in ((self.bare, plain, _as_letters), (self.tokenizer, letters, bytes.decode)):
             groups = [some[i : i + _JOINED] for i in range(0, len(some), _JOINED)]
-            for group, e in zip(groups, coder.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False) if groups else ()):
-                ids = np.array(e.ids, self.kind)
-                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
-                if len(cuts) == len(group) and cuts[-1] == ids.nbytes:
-                    raw = ids.tobytes()
-                    out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self.plain([w.decode() for w in rest])))
+            coded = []
+            for i in range(0, len(groups), _JOINED):
+                coded += [np.array(e.ids, self.kind) for e in coder.encode_batch_fast(told(b"\n".join(map(b" ".join, groups[i : i + _JOINED]))).split("\n"), add_special_tokens=False)]
+            sound = [i for i, (g, ids) in enumerate(zip(groups, coded)) if np.count_nonzero(last := self.ends[ids]) == len(g) and last[-1]]
+            if sound:
+                ids = np.concatenate([coded[i] for i in sound])
+                cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)).astype(np.int32) * np.int32(self.kind.itemsize)
+                whole = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+                out.update(zip(chain.from_iterable(groups[i] for i in sound), whole.to_numpy(zero_copy_only=False)))
+        if len(out) < len(words):
+            rest = [w for w in words if w not in out]
+            out.update(zip(rest, self.plain([w.decode() for w in rest])))
         return out
 
 
@@ -153,25 +183,49 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
         out, gone = dict(zip(whole, coder.plain([texts[i] for i in whole]))), set(whole)
         others = iter(encode_words([t for i, t in enumerate(texts) if i not in gone], path) if len(whole) < len(texts) else ())
         return [out[i] if i in gone else next(others) for i in range(len(texts))]
-    old, young = coder.old, coder.young
-    split = [coder.parts(t) for t in texts]
-    known, holes = [list(map(young.get, words)) for words in split], []
-    for words, ids in zip(split, known):
-        at = 0
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at) + 1
-            holes.append((ids, at - 1, words[at - 1]))
+    stretches = [[raw] if len(raw) <= PIECE else list(_stretches(raw)) for raw in map(coder.lowered, texts)]
+    flat, coded, at, size = [raw for some in stretches for raw in some], [], 0, 0
+    for i, raw in enumerate(flat):
+        size += len(raw)
+        if size >= PIECE or i + 1 == len(flat):
+            coded += _encode_stretches(coder, flat[at : i + 1])
+            at, size = i + 1, 0
+    left = iter(coded)
+    return [b"".join(islice(left, len(some))) for some in stretches]
+
+
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """raw cut at white space, PIECE bytes and the word there at most."""
+    at = 0
+    while at < len(raw):
+        found = _GAP.search(raw, at + PIECE)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _encode_stretches(coder: Encoder, stretches: list[bytes]) -> list[bytes]:
+    """Ids of lowered texts. Distinct parts are found by Arrow for all of them at once, and so are the ids put together; Python sees each distinct part once."""
+    words, starts = split_words(b"\n".join(stretches))
+    words = words.dictionary_encode()
+    distinct, old, young = words.dictionary.to_numpy(zero_copy_only=False).tolist(), coder.old, coder.young
+    known = list(map(young.get, distinct))
+    holes = [i for i, ids in enumerate(known) if ids is None]
     new = []
-    for w in {w for _, _, w in holes}:
-        if (ids := old.get(w)) is not None:
+    for i in holes:
+        if (ids := old.get(w := distinct[i])) is not None:
             young[w] = ids
         else:
             new.append(w)
     young.update(coder.words(new))
-    for ids, at, w in holes:
-        ids[at] = young[w]
+    for i in holes:
+        known[i] = young[distinct[i]]
     coder.old, coder.young = (young, {}) if len(young) > MEMO_WORDS else (old, young)
-    return [b"".join(ids) for ids in known]
+    ids = pa.array(known, pa.binary()).take(words.indices)
+    _, offsets, data = ids.buffers()
+    ends = np.cumsum([len(raw) + 1 for raw in stretches])
+    at = np.frombuffer(offsets, np.int32)[np.concatenate(([0], np.searchsorted(starts, ends)))].tolist()
+    return [data[a:b].to_pybytes() for a, b in zip(at, at[1:])]
 
 
 _CHUNK = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
@@ -192,10 +246,10 @@ def _chunked(path: str, end_id: int):
         for whole in batches:
             for batch in _pieces(whole):
                 ends, counts, roots, keys, lens, parts = [0], [], [], [], [], []
-                for raw in encode_words([t or "" for t in batch.column("text").to_pylist()], path):
-                    raw += end
-                    ids, last = np.frombuffer(raw, kind), 0
-                    for e in cut_points(ids):
+                coded = [raw + end for raw in encode_words([t or "" for t in batch.column("text").to_pylist()], path)]
+                for raw, stops in zip(coded, cut_points(coded, kind)):
+                    last = 0
+                    for e in stops:
                         piece = raw[last * kind.itemsize : e * kind.itemsize]
                         key = hashlib.blake2b(piece, digest_size=16).digest()
                         keys.append(key)
@@ -205,7 +259,7 @@ def _chunked(path: str, end_id: int):
                         last = e
                     if len(sent) > MEMO_KEYS:
                         sent.clear()
-                    counts.append(len(ids))
+                    counts.append(len(raw) // kind.itemsize)
                     roots.append(merkle(keys[ends[-1] :]))
                     ends.append(len(keys))
                 chunks = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(lens, pa.int32()), pa.array(parts, pa.binary())], fields=list(_CHUNK))

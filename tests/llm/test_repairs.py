@@ -268,6 +268,48 @@ def test_chunk_places_of_a_long_document():
     assert (got[0] == int(lens.sum()) - np.cumsum(lens.astype(np.int64))).all() and got[0][-1] == 0 and got[1].tolist() == [0] and len(got[2]) == 0
 
 
+def test_words_are_looked_up_once_for_all_texts(monkeypatch):
+    """The memo is asked for each distinct part of a piece, not for each place; pieces, cuts inside long texts and empty texts change no ids."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = token_store.Encoder(path)
+    monkeypatch.setitem(token_store._tokenizers, path, coder)
+    coder.young = Counted()
+    texts = ["The cat, the hat. " * 500, "", "\u00e0\u00ed\u00df\u00ff the cat. " * 300, " \n", "\u00c9t\u00e9, cat! don't"] * 2
+    assert token_store.encode_words(texts, path) == coder.plain(texts)
+    assert Counted.asked <= 10
+    monkeypatch.setattr(token_store, "PIECE", 100)
+    assert token_store.encode_words(texts, path) == coder.plain(texts)
+
+
+def test_chunks_end_where_their_own_ids_say():
+    """Ends of many lists at once are those of a window rolled over each list alone."""
+    rng, kind, mask = np.random.default_rng(4), np.dtype("<u2"), 2**64 - 1
+    lists = [rng.integers(0, 49_000, n) for n in (3000, 0, 1, 15, 16, 700, 127, 2500, 128)] + [np.zeros(5000, np.int64)]
+
+    def mixed(i):
+        x = (int(i) + 1) * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    def ends_of(ids):
+        values, out, last = list(map(mixed, ids)), [], 0
+        for p in range(1, len(ids) + 1):
+            rolled = sum(v * pow(int(token_store._P), k, 2**64) for k, v in enumerate(reversed(values[max(0, p - token_store.WINDOW) : p]))) & mask
+            hit = (rolled >> 40) % (token_store.MEAN - token_store.LEAST) == 0 and p - last >= token_store.LEAST
+            if hit or p - last == token_store.MOST or p == len(ids):
+                out.append(last := p)
+        return out
+
+    assert token_store.cut_points([ids.astype(kind).tobytes() for ids in lists], kind) == list(map(ends_of, lists))
+
+
 def test_quality_scores_are_the_rules(spark):
     """Scores held against a plain evaluation of the fitted rules, and against a floor on held-out labels."""
     rng = np.random.default_rng(9)
