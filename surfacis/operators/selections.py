@@ -32,24 +32,24 @@ def selection_areas(atoms: DataFrame, entries: DataFrame, **options) -> DataFram
 
 
 def selection_atoms(atoms: DataFrame, entries: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """entries with status and error, and the area of every atom of each entry that is ok (structure_id, id, atom_index, area)."""
+    """entries with status and error, and the area of every atom of each entry that is ok (structure_id, id, atom_index, what options carry, area)."""
     checked, areas = _selections(atoms, entries, options)
     rows = areas.join(checked.where("status = 'ok'").select("structure_id", "set", "id"), ["structure_id", "set"])
-    return checked.drop("set"), rows.select("structure_id", "id", "atom_index", "area")
+    return checked.drop("set"), rows.select("structure_id", "id", "atom_index", *options.get("carry", ()), "area")
 
 
-def buried_atoms(atoms: DataFrame, interfaces: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, **options) -> DataFrame:
-    """Per interface (structure_id, id, partner_a, partner_b) and atom: partner, isolated (points free with its partner alone), complex (with both), isolated_area, complex_area, delta.
+def buried_atoms(atoms: DataFrame, interfaces: DataFrame, n_points: int = N_POINTS, probe: float = PROBE, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Per interface (structure_id, id, partner_a, partner_b) and atom: columns to carry, partner, isolated (points free with its partner alone), complex (with both), isolated_area, complex_area, delta.
 
     Each atom enters once for an interface, marked with its partner; one pass over the neighbours tells both exposures. Interfaces whose partners share a chain give no rows.
     """
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("partner_a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("partner_b").alias("c")))
     ok = interfaces.where(~F.arrays_overlap("partner_a", "partner_b"))
     sets = ok.select("structure_id", "id", F.inline(sides)).select("structure_id", "id", "side", F.explode(F.array_distinct("c")).alias("chain"))
-    rows = atoms.join(sets, ["structure_id", "chain"]).select("structure_id", "id", "atom_index", "x", "y", "z", "radius", "side")
-    got = sided_points(rows, n_points, probe, key=["structure_id", "id"], **options).join(rows.select("structure_id", "id", "atom_index", "side"), ["structure_id", "id", "atom_index"])
+    rows = atoms.join(sets, ["structure_id", "chain"]).select("structure_id", "id", "atom_index", "x", "y", "z", "radius", "side", *carry)
+    got = sided_points(rows, n_points, probe, key=["structure_id", "id"], carry=("side", *carry), **options)
     area = lambda c: sphere_area(F.col("radius") + probe) * F.col(c) / n_points
-    rows = got.select("structure_id", "id", "atom_index", F.when(F.col("side") == 0, "a").otherwise("b").alias("partner"), "isolated", F.col("exposed").alias("complex"), area("isolated").alias("isolated_area"), area("exposed").alias("complex_area"))
+    rows = got.select("structure_id", "id", "atom_index", *carry, F.when(F.col("side") == 0, "a").otherwise("b").alias("partner"), "isolated", F.col("exposed").alias("complex"), area("isolated").alias("isolated_area"), area("exposed").alias("complex_area"))
     return rows.withColumn("delta", F.col("isolated_area") - F.col("complex_area"))
 
 
@@ -70,8 +70,8 @@ def interface_areas(atoms: DataFrame, interfaces: DataFrame, **options) -> DataF
     return out.select("structure_id", "id", "error", *[value(F.col(c)).alias(c) for c in ("sasa_partner_a", "sasa_partner_b", "sasa_complex")], value(delta).alias("delta_sasa_total"), value(delta / 2).alias("bsa"))
 
 
-def residue_deltas(buried: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Areas of every residue of an interface, isolated and in the complex, its partner, and delta (not halved); the name is the first atom's."""
-    rows = buried.join(atoms.select("structure_id", "atom_index", "chain", "residue_num", "ins_code", "residue"), ["structure_id", "atom_index"])
+def residue_deltas(buried: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
+    """Areas of every residue of an interface, isolated and in the complex, its partner, and delta (not halved); the name is the first atom's. atoms: where chain, residue_num, ins_code and residue are found, if buried doesn't carry them."""
+    rows = buried if atoms is None else buried.join(atoms.select("structure_id", "atom_index", "chain", "residue_num", "ins_code", "residue"), ["structure_id", "atom_index"])
     sums = [F.sum(c).alias(c) for c in ("isolated_area", "complex_area", "delta")]
     return rows.groupBy("structure_id", "id", "partner", "chain", "residue_num", "ins_code").agg(F.min_by("residue", "atom_index").alias("residue"), F.min("atom_index").alias("first_atom"), F.count("*").alias("n_atoms"), *sums)

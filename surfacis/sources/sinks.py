@@ -99,11 +99,11 @@ def interface_rows(faces: DataFrame, residues: DataFrame, decimals: int = 3) ->
     return faces.join(listed, ["structure_id", "id"], "left").select("structure_id", "id", F.when(F.col("error").isNull(), good).otherwise(bad).alias("value"))
 
 
-def selection_rows(entries: DataFrame, areas: DataFrame, atoms: DataFrame, decimals: int = 3) -> DataFrame:
-    """value, a JSON line for each entry of selection_atoms(): its chains as asked, areas and what the atoms are as arrays in order of atoms, or status err and the error."""
+def selection_rows(entries: DataFrame, areas: DataFrame, atoms: DataFrame | None = None, decimals: int = 3) -> DataFrame:
+    """value, a JSON line for each entry of selection_atoms(): its chains as asked, areas and what the atoms are as arrays in order of atoms, or status err and the error. atoms: what the atoms are, if areas don't carry it."""
     shown = lambda c: rounded(c, decimals)
     one = F.struct("atom_index", shown(F.col("area")).alias("shown"), "area", "chain", "residue", "residue_num", "ins_code", "atom_name", "element")
-    named = areas.join(atoms.select("structure_id", "atom_index", "chain", "residue", "residue_num", "ins_code", "atom_name", "element"), ["structure_id", "atom_index"])
+    named = areas if atoms is None else areas.join(atoms.select("structure_id", "atom_index", "chain", "residue", "residue_num", "ins_code", "atom_name", "element"), ["structure_id", "atom_index"])
     listed = named.groupBy("structure_id", "id").agg(shown(F.sum("area")).alias("total_area"), F.array_sort(F.collect_list(one)).alias("rows"))
     names = {
         "atom_areas": "shown", "source_atom_index": "atom_index", "atom_chain": "chain", "atom_residue_name": "residue", "atom_residue_number": "residue_num", "atom_insertion_code": "ins_code", "atom_name": "atom_name",

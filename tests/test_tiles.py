@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfacis.functions.geometry import sphere_points
-from surfacis.operators import kernels, masks, neighbors, surface
+from surfacis.operators import kernels, masks, neighbors, selections, surface
+from surfacis.plans import catalogue
+from surfacis.sources import sinks
 
 COLUMNS = "structure_id string, atom_index int, x double, y double, z double, radius double"
 
@@ -114,3 +116,22 @@ def test_atoms_are_shuffled_once_and_pairs_never(wide, run):
     finally:
         wide.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["residue_areas", "residue_runs", "residue_rsa", "polar_summary", "rsa_lines"])
+def test_columns_pass_through_the_kernel(spark, name):
+    """Areas were joined back to a second making of the atoms."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_carried_columns_of_interfaces_and_selections(spark):
+    atoms = catalogue.pseudo_atoms(spark, "/root/testdata/sf0.001").where("structure_id < 4")
+    faces, entries = catalogue._faces(atoms), catalogue._entries(atoms)
+    rows = lambda df: sorted(map(str, df.collect()))
+    carried = selections.residue_deltas(selections.buried_atoms(atoms, faces, 20, 1.4, catalogue.RESIDUE))
+    joined = selections.residue_deltas(selections.buried_atoms(atoms, faces, 20, 1.4), atoms)
+    assert rows(carried.select("structure_id", "partner", *catalogue.RESIDUE, "n_atoms", F.round("delta", 6))) == rows(joined.select("structure_id", "partner", *catalogue.RESIDUE, "n_atoms", F.round("delta", 6)))
+    made, areas = selections.selection_atoms(atoms, entries, n_points=20, carry=(*catalogue.RESIDUE, "atom_name", "element"))
+    plain = selections.selection_atoms(atoms, entries, n_points=20)
+    assert rows(sinks.selection_rows(made, areas)) == rows(sinks.selection_rows(*plain, atoms))
