@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfacis.functions.geometry import sphere_points
-from surfacis.operators import kernels, masks, neighbors, selections, surface
+from surfacis.operators import batch, kernels, masks, neighbors, selections, surface
 from surfacis.plans import catalogue
 from surfacis.sources import sinks
 
@@ -135,3 +135,15 @@ def test_carried_columns_of_interfaces_and_selections(spark):
     made, areas = selections.selection_atoms(atoms, entries, n_points=20, carry=(*catalogue.RESIDUE, "atom_name", "element"))
     plain = selections.selection_atoms(atoms, entries, n_points=20)
     assert rows(sinks.selection_rows(made, areas)) == rows(sinks.selection_rows(*plain, atoms))
+
+
+def test_jobs_and_structures_meet_without_a_shuffle_of_their_product(spark):
+    """200 structures x 500 jobs: before, every row of the result was sorted by its structure and what it asks for."""
+    atoms = spark.range(200).select(F.col("id").alias("structure_id"), F.lit(0).alias("atom_index"), *[F.lit(0.0).alias(c) for c in "xyz"], F.lit(1.5).alias("radius"), F.lit("A").alias("chain"))
+    jobs = spark.range(500).select(F.col("id").alias("job_id"), F.lit("sr").alias("algorithm"), F.lit(20).alias("resolution"), (1 + F.col("id") % 3 / 10).alias("probe"), F.lit(None).cast("array<string>").alias("chains"))
+    df = batch.job_areas(atoms, jobs)
+    rows = df.groupBy("n_sharing", F.round(F.sqrt(F.col("total_area") / (4 * math.pi)), 6).alias("r")).count().collect()
+    assert sorted((r.n_sharing, r.r, r["count"]) for r in rows) == [(166, 2.7, 33200), (167, 2.5, 33400), (167, 2.6, 33400)]
+    top = df._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert re.search("CartesianProduct|BroadcastNestedLoopJoin", top) and "SortMergeJoin" not in top
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
